@@ -116,6 +116,21 @@ def near_duplicate_links(
     return done.distinct()
 
 
+def compare_with_first(
+    docs: DataFrame, id_col: str, text: str, block: Column, words: int = 3
+) -> DataFrame:
+    """(id, first_id, jaccard) of every document with the smallest id of its block."""
+    sets = cut_lineage(docs.select(
+        F.col(id_col), block.alias("block"), shingles(F.col(text), words).alias("hashes")))
+    first = sets.groupBy("block").agg(F.min(id_col).alias("first_id"))
+    others = sets.select(F.col(id_col).alias("first_id"), F.col("hashes").alias("other"))
+    return (
+        sets.join(first, "block").filter(F.col(id_col) != F.col("first_id"))
+        .join(others, "first_id")
+        .select(id_col, "first_id", jaccard(F.col("hashes"), F.col("other")).alias("jaccard"))
+    )
+
+
 def connected_labels(links: DataFrame) -> DataFrame:
     """(id, label): smallest id of each connected group of (id, leader) links.
 
