@@ -37,9 +37,7 @@ def texts_of(blocks: Column) -> Column:
 
 def block_group(texts: Column, separator: str = "\n") -> Column:
     """The texts as one paragraph, or no paragraph when there are none."""
-    return F.when(F.size(texts) > 0, F.array(F.array_join(texts, separator))).otherwise(
-        F.array().cast("array<string>")
-    )
+    return F.filter(F.array(F.array_join(texts, separator)), lambda joined: joined != "")
 
 
 def paragraphs(*groups: Column) -> Column:

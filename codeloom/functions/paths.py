@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from codeloom import fixed_values as V
+from codeloom.functions.text import let
 
 
 def extension(path: Column) -> Column:
@@ -46,34 +47,48 @@ def _fold(path: Column, absolute: Column) -> Column:
 def normalize_path(path: Column) -> Column:
     """Fold ``.`` and ``..``; a relative path keeps the ``..`` it cannot resolve."""
     absolute = path.startswith("/")
-    body = F.array_join(_fold(path, absolute), "/")
-    tail = F.when(path.endswith("/") & (body != ""), "/").otherwise("")
-    return (
-        F.when(absolute, F.concat(F.lit("/"), body, tail))
-        .when(body == "", F.when(path.endswith("/"), "./").otherwise("."))
-        .otherwise(F.concat(body, tail))
-    )
+
+    def shown(body: Column) -> Column:
+        tail = F.when(path.endswith("/") & (body != ""), "/").otherwise("")
+        return (
+            F.when(absolute, F.concat(F.lit("/"), body, tail))
+            .when(body == "", F.when(path.endswith("/"), "./").otherwise("."))
+            .otherwise(F.concat(body, tail))
+        )
+
+    return let(F.array_join(_fold(path, absolute), "/"), shown)
 
 
 def join_paths(*parts: Column) -> Column:
     """Join non-empty parts with ``/`` and normalise."""
-    return normalize_path(F.concat_ws("/", *[F.nullif(p, F.lit("")) for p in parts]))
+    return let(
+        F.concat_ws("/", *[F.when(p != "", p) for p in parts]), normalize_path
+    )
 
 
 def relative_path(base: Column, path: Column) -> Column:
     """Path that leads from folder ``base`` to ``path`` (both absolute or both relative)."""
-    source = _fold(base, base.startswith("/"))
-    target = _fold(path, path.startswith("/"))
-    longest = F.least(F.size(source), F.size(target))
-    shared = F.aggregate(
-        F.sequence(F.lit(0), longest),
-        F.lit(0),
-        lambda n, i: F.when((i == n) & (n < longest) & (F.get(source, n) == F.get(target, n)),
-                            n + 1).otherwise(n),
-    )
-    ups = F.array_repeat(F.lit(".."), F.size(source) - shared)
-    rest = F.slice(target, shared + 1, F.size(target))
-    return F.array_join(F.concat(ups, rest), "/")
+
+    def lead(ends: Column) -> Column:
+        source, target = ends["source"], ends["target"]
+        shared = F.aggregate(
+            F.arrays_zip(source.alias("s"), target.alias("t")),
+            F.struct(F.lit(0).alias("n"), F.lit(True).alias("same")),
+            lambda seen, pair: F.when(
+                seen["same"] & pair["s"].eqNullSafe(pair["t"]),
+                F.struct((seen["n"] + 1).alias("n"), F.lit(True).alias("same")),
+            ).otherwise(F.struct(seen["n"].alias("n"), F.lit(False).alias("same"))),
+            lambda seen: seen["n"],
+        )
+        return let(shared, lambda n: F.array_join(F.concat(
+            F.array_repeat(F.lit(".."), F.size(source) - n),
+            F.slice(target, n + 1, F.size(target)),
+        ), "/"))
+
+    return let(F.struct(
+        _fold(base, base.startswith("/")).alias("source"),
+        _fold(path, path.startswith("/")).alias("target"),
+    ), lead)
 
 
 def language(path_extension: Column) -> Column:

@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from codeloom import fixed_values as V
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` worked out once, also inside lambdas, where Spark would
+    evaluate it again per element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def strip(value: Column) -> Column:
     """Trim every kind of whitespace, not only blanks."""
     return F.regexp_replace(value, r"(?U)^\s+|\s+$", "")

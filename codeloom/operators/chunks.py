@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from codeloom import fixed_values as V
 from codeloom.functions.paths import extension, language
-from codeloom.functions.text import non_empty_lines
+from codeloom.functions.text import let, non_empty_lines
 from codeloom.operators.search import fuzzy_search
 
 
@@ -25,8 +25,13 @@ def fixed_windows(
     )
 
 
-def _quoted(boundary: str) -> str:
-    return "\\Q" + boundary + "\\E"
+def _boundary_pattern(lang: Column) -> Column:
+    """Pattern that matches in front of each boundary of the language, NULL if unknown."""
+    pairs: list[Column] = []
+    for name, boundaries in V.CODE_BOUNDARIES.items():
+        quoted = "|".join("\\Q" + b + "\\E" for b in boundaries)
+        pairs += [F.lit(name), F.lit(f"(?={quoted})")]
+    return F.try_element_at(F.create_map(*pairs), lang)
 
 
 def _refine(pieces: Column, pattern: str, size: int) -> Column:
@@ -39,12 +44,12 @@ def _refine(pieces: Column, pattern: str, size: int) -> Column:
     ))
 
 
-def _pieces(content: Column, boundaries: list[str], size: int, cell: int) -> Column:
+def _pieces(content: Column, lang: Column, size: int, cell: int) -> Column:
     """Gapless pieces of at most ``size`` characters: cut before language boundaries, and
     where that is not enough before empty lines, newlines, blanks, then every ``cell``."""
-    pieces = F.array(content)
-    if boundaries:
-        pieces = _refine(pieces, "(?=" + "|".join(_quoted(b) for b in boundaries) + ")", size)
+    pieces = F.when(F.length(content) <= size, F.array(content)).otherwise(
+        F.filter(F.split(content, _boundary_pattern(lang)), lambda x: x != "")
+    )
     for finer in (r"(?=\n\n)", r"(?=\n)", r"(?= )"):
         pieces = _refine(pieces, finer, size)
     return F.flatten(F.transform(
@@ -96,10 +101,9 @@ def _pack(pieces: Column, size: int, overlap: int) -> Column:
 
     def start_next(s: Column, piece: Column) -> Column:
         kept = tail(s, F.least(F.lit(overlap), F.lit(size) - F.length(piece)))
-        # one element, so that the tail is worked out once
-        return F.transform(F.array(kept), lambda t: state(
+        return let(kept, lambda t: state(
             F.array_append(t["kept"], piece), t["chars"] + F.length(piece), t["chars"], closed(s)
-        ))[0]
+        ))
 
     return F.aggregate(
         pieces,
@@ -113,13 +117,14 @@ def _pack(pieces: Column, size: int, overlap: int) -> Column:
 
 
 def code_pieces(
-    content: Column, lang: str, size: int = V.CHUNK_SIZE, overlap: int = V.CHUNK_OVERLAP
+    content: Column, lang: Column, size: int = V.CHUNK_SIZE, overlap: int = V.CHUNK_OVERLAP
 ) -> Column:
-    """Array of (chunk, overlap) for one language; ``overlap`` counts the characters that a
-    chunk repeats from the one before, so chunks without them give the content back."""
-    packed = _pack(_pieces(content, V.CODE_BOUNDARIES[lang], size, overlap), size, overlap)
-    return F.when(F.length(content) > 0, packed).otherwise(
-        F.array().cast("array<struct<chunk:string,overlap:int>>")
+    """Array of (chunk, overlap), NULL for an unknown language; ``overlap`` counts the
+    characters that a chunk repeats from the one before, so chunks without them give the
+    content back."""
+    packed = _pack(_pieces(content, lang, size, overlap), size, overlap)
+    return F.when(lang.isNotNull() & (F.length(content) > 0), packed).when(
+        lang.isNotNull(), F.array().cast("array<struct<chunk:string,overlap:int>>")
     )
 
 
@@ -136,12 +141,8 @@ def chunk_array(
     if split != "code":
         raise ValueError("split must be 'none', 'lines' or 'code'")
     lang = language(F.lower(extension(path)))
-    result = None
-    for name in V.CODE_BOUNDARIES:
-        chunks = F.transform(code_pieces(content, name, size, overlap), lambda c: c["chunk"])
-        result = F.when(lang == name, chunks) if result is None else result.when(
-            lang == name, chunks)
-    return result.otherwise(non_empty_lines(content))
+    chunks = F.transform(code_pieces(content, lang, size, overlap), lambda c: c["chunk"])
+    return F.coalesce(chunks, non_empty_lines(content))
 
 
 def chunk_files(files: DataFrame, split: str = "lines") -> DataFrame:

@@ -4,9 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from codeloom.functions.text import let
 from codeloom.session import cut_lineage
 
 SIGNATURES = 36
@@ -49,12 +53,15 @@ def drop_exact_duplicates(
 
 def shingles(text: Column, words: int = 3) -> Column:
     """Distinct hashes of runs of ``words`` words; a shorter text is one run."""
-    tokens = F.split(normalized(text), " ")
-    last = F.greatest(F.size(tokens) - words + 1, F.lit(1))
-    return F.array_distinct(F.transform(
-        F.sequence(F.lit(1), last),
-        lambda i: F.xxhash64(F.array_join(F.slice(tokens, i, F.lit(words)), " ")),
-    ))
+
+    def runs(tokens: Column) -> Column:
+        last = F.greatest(F.size(tokens) - words, F.lit(0))
+        return F.transform(
+            F.sequence(F.lit(0), last),
+            lambda i: F.xxhash64(*[F.get(tokens, i + k) for k in range(words)]),
+        )
+
+    return F.array_distinct(let(F.split(normalized(text), " "), runs))
 
 
 def jaccard(a: Column, b: Column) -> Column:
@@ -62,16 +69,30 @@ def jaccard(a: Column, b: Column) -> Column:
     return shared / (F.size(a) + F.size(b) - shared)
 
 
-def _bands(hashes: Column) -> Column:
-    """Bucket keys: minima of seeded hashes, a few per band."""
-    minima = [
-        F.array_min(F.transform(hashes, lambda h, s=seed: F.xxhash64(h, F.lit(s))))
-        for seed in range(SIGNATURES)
-    ]
-    return F.array(*[
-        F.xxhash64(F.lit(start), *minima[start:start + ROWS_PER_BAND])
-        for start in range(0, SIGNATURES, ROWS_PER_BAND)
-    ])
+_FACTORS = np.random.default_rng(42).integers(1, 1 << 63, SIGNATURES, np.uint64) * 2 + 1
+_MASKS = np.random.default_rng(43).integers(0, 1 << 63, SIGNATURES, np.uint64)
+_HASHES_AT_ONCE = 1 << 14
+
+
+def band_keys(hashes: np.ndarray) -> np.ndarray:
+    """Bucket keys of one document: minima of seeded hashes, a few per band."""
+    values = np.asarray(hashes).astype(np.int64).view(np.uint64)
+    minima = np.full(SIGNATURES, np.iinfo(np.uint64).max, np.uint64)
+    for start in range(0, len(values), _HASHES_AT_ONCE):
+        some = values[start:start + _HASHES_AT_ONCE, None]
+        minima = np.minimum(minima, ((some ^ _MASKS) * _FACTORS).min(axis=0))
+    bands = minima.reshape(-1, ROWS_PER_BAND)
+    keys = np.arange(len(bands), dtype=np.uint64)
+    for column in bands.T:
+        keys = (keys ^ column) * _FACTORS[0]
+        keys ^= keys >> np.uint64(31)
+    return keys.view(np.int64)
+
+
+@F.pandas_udf(T.ArrayType(T.LongType()))
+def _bands(hashes: pd.Series) -> pd.Series:
+    # dozens of hashes per word: numpy here is far faster than as many array expressions
+    return hashes.map(band_keys)
 
 
 def near_duplicate_links(
@@ -86,7 +107,6 @@ def near_duplicate_links(
     """
     sets = cut_lineage(docs.select(F.col(id_col).alias("id"), F.col(hashes).alias("hashes")))
     members = sets.select("id", F.explode(F.array_distinct(_bands(F.col("hashes")))).alias("bucket"))
-    # what a document of its own bucket has no one to be compared with
     shared = members.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
     open_ = cut_lineage(members.join(shared.select("bucket"), "bucket", "left_semi"))
     done = None

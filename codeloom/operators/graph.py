@@ -26,13 +26,18 @@ def breadth_first(
     possible, so that a file imported from everywhere is one row per map task.
     """
     spark = edges.sparkSession
-    links = cut_lineage(edges.select("src", F.col("pos").cast("long").alias("pos"), "dst"))
-    start = [(path, i) for i, path in enumerate(dict.fromkeys(entries))]
-    level = spark.createDataFrame(start, "path string, seq long").select(
+    # spread and sorted by source once, so that no level shuffles or sorts the links again
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    links = cut_lineage(
+        edges.select("src", F.col("pos").cast("long").alias("pos"), "dst")
+        .repartition(partitions, "src").sortWithinPartitions("src")
+    )
+    start = list(dict.fromkeys(entries))
+    level = spark.range(1).select(F.posexplode(F.lit(start)).alias("seq", "path")).select(
         "path",
         F.lit(0).cast("long").alias("depth"),
         F.lit(None).cast("string").alias("parent"),
-        "seq",
+        F.col("seq").cast("long").alias("seq"),
         F.col("path").alias("chain"),
     )
     seen, taken, depth = level, len(start), 0
@@ -54,9 +59,8 @@ def breadth_first(
             F.concat("first.parent_chain", F.lit(CHAIN_SEPARATOR), "path").alias("chain"),
             "first.parent_seq", "first.pos",
         )
-        numbered = with_dense_index(fresh, ["parent_seq", "pos"], "seq", taken)
+        numbered, count = with_dense_index(fresh, ["parent_seq", "pos"], "seq", taken)
         level = numbered.select("path", "depth", "parent", "seq", "chain")
-        count = level.count()
         if count == 0:
             break
         taken += count
@@ -72,23 +76,22 @@ def reverse_dependencies(edges: DataFrame) -> DataFrame:
 
 
 def used_by(edges: DataFrame, order: DataFrame, per_row: int = 1000) -> DataFrame:
-    """(path, part, used_by): the users of each file in ``seq`` order, joined by comma.
+    """(path, part, used_by): the users of each file, among the files of ``order`` (path,
+    seq), in that order and joined by comma.
 
     A file with up to ``per_row`` users has one row, part 0. A file used from everywhere is
     split by the sequence number of its users (part 1, 2, ...), at most ``per_row`` per
     row, so no task and no row holds an unbounded group; all rows together are the list.
     """
-    pairs = reverse_dependencies(edges)
+    pairs = reverse_dependencies(edges).join(
+        order.select(F.col("path").alias("src"), "seq"), "src"
+    )
     hot = pairs.groupBy("dst").count().filter(F.col("count") > per_row).select(
         "dst", F.lit(True).alias("hot")
     )
-    placed = (
-        pairs.join(order.select(F.col("path").alias("src"), "seq"), "src")
-        .join(hot, "dst", "left")
-        .withColumn(
-            "part",
-            F.when(F.col("hot"), F.floor(F.col("seq") / per_row) + 1).otherwise(0).cast("long"),
-        )
+    placed = pairs.join(hot, "dst", "left").withColumn(
+        "part",
+        F.when(F.col("hot"), F.floor(F.col("seq") / per_row) + 1).otherwise(0).cast("long"),
     )
     users = F.array_sort(F.collect_list(F.struct("seq", "src")))
     return placed.groupBy(F.col("dst").alias("path"), "part").agg(

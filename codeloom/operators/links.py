@@ -70,11 +70,9 @@ def resolve_links(links: DataFrame, files: DataFrame, base: str = "importer") ->
         raise ValueError("base must be 'importer' or 'root'")
     spec = F.col("spec")
     if base == "importer":
-        wanted = join_paths(directory(F.col("src")), spec)
-        probe = wanted
+        wanted, probe = join_paths(directory(F.col("src")), spec), F.col("_wanted")
     else:
-        wanted = F.regexp_replace(spec, r"^\./", "")
-        probe = normalize_path(spec)
+        wanted, probe = F.regexp_replace(spec, r"^\./", ""), normalize_path(spec)
     unmatched = F.concat(F.lit("\0"), F.col("src"), F.lit("\0"), F.col("pos"))
     keyed = links.withColumn("_wanted", F.when(F.col("is_relative"), wanted).otherwise(spec))
     keyed = keyed.withColumn("_probe", F.when(F.col("is_relative"), probe).otherwise(unmatched))
@@ -93,5 +91,8 @@ def resolve_links(links: DataFrame, files: DataFrame, base: str = "importer") ->
     ).drop("_wanted", "_probe", "exact", "ts", "js")
 
 
-def import_edges(files: DataFrame, base: str = "importer") -> DataFrame:
-    return resolve_links(extract_links(files), files, base)
+def import_edges(
+    files: DataFrame, base: str = "importer", known: DataFrame | None = None
+) -> DataFrame:
+    """Links of all files, resolved against the paths of ``known`` (else of ``files``)."""
+    return resolve_links(extract_links(files), files if known is None else known, base)

@@ -16,7 +16,9 @@ from codeloom.session import cut_lineage
 
 def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Relative links between the TS corpus' files, resolved."""
-    return links.import_edges(corpora.ts_modules(spark, sf_dir)).filter("is_relative")
+    return links.import_edges(
+        corpora.ts_modules(spark, sf_dir), known=corpora.ts_paths(spark, sf_dir)
+    ).filter("is_relative")
 
 
 def entry_file(spark: SparkSession, sf_dir: str) -> str:
@@ -35,7 +37,7 @@ def reached_context(spark: SparkSession, sf_dir: str):
     """(order, edges, users, files): what the reports are made from."""
     order, edges = reached(spark, sf_dir)
     users = graph.used_by(edges, order, X.PER_ROW)
-    files = corpora.ts_modules(spark, sf_dir).select("path")
+    files = corpora.ts_paths(spark, sf_dir)
     return order.select("path", "seq"), edges, users, files
 
 
@@ -50,12 +52,14 @@ def p6_relative_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def g2_resolve_importer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = links.import_edges(corpora.ts_modules(spark, sf_dir), "importer")
+    found = links.import_edges(
+        corpora.ts_modules(spark, sf_dir), "importer", corpora.ts_paths(spark, sf_dir))
     return found.select("src", "spec", "dst", "resolved")
 
 
 def g2_resolve_root(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = links.import_edges(corpora.ts_modules(spark, sf_dir), "root")
+    found = links.import_edges(
+        corpora.ts_modules(spark, sf_dir), "root", corpora.ts_paths(spark, sf_dir))
     return found.filter("is_relative").select("src", "spec", "dst", "resolved")
 
 
@@ -88,7 +92,7 @@ def g7_reverse_dependencies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def g8_missing_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = corpora.ts_modules(spark, sf_dir)
+    files = corpora.ts_paths(spark, sf_dir)
     return graph.missing_targets(_edges(spark, sf_dir), files)
 
 
@@ -157,7 +161,7 @@ def a5_summary_sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def a7_missing_section(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = corpora.ts_modules(spark, sf_dir)
+    files = corpora.ts_paths(spark, sf_dir)
     return report.missing_lines(graph.missing_targets(_edges(spark, sf_dir), files))
 
 

@@ -38,7 +38,7 @@ def s1_list_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def s2_list_by_extension(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = S.list_by_extension(corpora.ts_modules(spark, sf_dir), [".JS"])
+    found = S.list_by_extension(corpora.ts_paths(spark, sf_dir), [".JS"])
     return found.select("path")
 
 

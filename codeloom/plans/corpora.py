@@ -98,6 +98,19 @@ def ts_modules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orders.unionByName(parts).unionByName(suppliers)
 
 
+def ts_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paths of ``ts_modules`` without the work for the contents."""
+    def named(source: str, key: str, prefix: str, suffix: str) -> DataFrame:
+        return table(spark, sf_dir, source).select(
+            F.concat(F.lit(prefix), key, F.lit(suffix)).alias("path"))
+
+    return (
+        named("orders", "o_orderkey", "src/orders/o", ".ts")
+        .unionByName(named("part", "p_partkey", "src/parts/p", ".ts"))
+        .unionByName(named("supplier", "s_suppkey", "src/supp/s", ".js"))
+    )
+
+
 JS_FILE = """import fs from 'fs';
 const path = require('path');
 const url{n} = "http://example.org/s{n}";

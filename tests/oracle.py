@@ -16,6 +16,9 @@ TABLES = (
 ).split()
 
 
+TIMES = {}
+
+
 def connect(sf_dir: str) -> duckdb.DuckDBPyConnection:
     connection = duckdb.connect()
     for name in TABLES:
@@ -39,8 +42,10 @@ def _rows(names: list[str], rows) -> Counter:
 
 def compare(spark, connection, sf_dir: str, query, sql: str | None) -> str | None:
     """What differs, or None."""
+    start = time.time()
     df = query(spark, sf_dir)
     got = _rows(df.columns, df.collect())
+    TIMES["spark"] = time.time() - start
     if sql is None:
         return None if got else "no rows"
     result = connection.execute(sql)
@@ -73,7 +78,7 @@ def main(sf_dir: str, only: list[str]) -> int:
         failed += problem is not None
         kind = "sql" if name in oracles else "rows only"
         print(f"{'ok  ' if problem is None else 'FAIL'} {name} ({kind},"
-              f" {time.time() - start:.1f} s) {problem or ''}"[:1500], flush=True)
+              f" {TIMES.get('spark', 0):.1f} of {time.time() - start:.1f} s) {problem or ''}"[:1500], flush=True)
     return failed
 
 
