@@ -160,7 +160,10 @@ def fetch_chunks(requests: DataFrame, files: DataFrame, split: str = "lines") ->
     The chunk is picked inside the row of its file, so only requested files are split and no
     chunk table is shuffled.
     """
-    found = requests.join(files.select("path", "content"), "path", "left")
+    asked = files.select("path", "content").join(
+        requests.select("path").distinct(), "path", "left_semi"
+    )
+    found = requests.join(asked, "path", "left")
     chunks = chunk_array(F.col("path"), F.col("content"), split)
     return found.withColumn(
         "chunk", F.coalesce(F.get(chunks, F.col("chunk_index")), F.lit(""))

@@ -43,12 +43,29 @@ def keep_best(df: DataFrame, keys: Sequence[str], best: Sequence[str | Column])
     return top.select(*keys, "top.rest.*").select(*df.columns)
 
 
+def _copies(docs: DataFrame, id_col: str, text: str) -> DataFrame:
+    """(id, chars, copy_key): texts that are equal after normalising share a key."""
+    return docs.select(
+        F.col(id_col).alias("id"), F.length(text).alias("chars"),
+        F.sha2(normalized(F.col(text)), 256).alias("copy_key"),
+    )
+
+
 def drop_exact_duplicates(
-    docs: DataFrame, text: str = "text", newest: Sequence[str] = ("doc_id",)
+    docs: DataFrame, id_col: str = "doc_id", text: str = "text"
 ) -> DataFrame:
-    """The longest, then newest, of the documents that are equal after normalising."""
-    keyed = docs.withColumn("_key", F.sha2(normalized(F.col(text)), 256))
-    return keep_best(keyed, ["_key"], [F.length(text), *newest]).drop("_key")
+    """The longest, then newest (largest id), of the documents that are equal after
+    normalising.
+
+    Only ids, lengths and hashes are grouped. The texts meet the ids to drop in an anti
+    join, which needs no shuffle of the texts while these ids are few enough to broadcast.
+    """
+    copies = _copies(docs, id_col, text)
+    best = copies.groupBy("copy_key").agg(
+        F.max(F.struct("chars", "id"))["id"].alias("best"), F.count("*").alias("n")
+    ).filter("n > 1")
+    dropped = copies.join(best, "copy_key").filter("id <> best")
+    return docs.join(dropped.select(F.col("id").alias(id_col)), id_col, "left_anti")
 
 
 def shingles(text: Column, words: int = 3) -> Column:
@@ -96,7 +113,7 @@ def _bands(hashes: pd.Series) -> pd.Series:
 
 
 def near_duplicate_links(
-    docs: DataFrame, id_col: str, hashes: str, threshold: float
+    docs: DataFrame, id_col: str, hashes: Column, threshold: float
 ) -> DataFrame:
     """(id, leader, jaccard): each document that shares a bucket is compared with the leader
     of the bucket, its smallest id, and is linked when their exact Jaccard is high enough.
@@ -105,11 +122,18 @@ def near_duplicate_links(
     new leader, until every bucket is used up. So all members are compared, but a bucket of
     n members costs n comparisons per round, never n * n pairs.
     """
-    sets = cut_lineage(docs.select(F.col(id_col).alias("id"), F.col(hashes).alias("hashes")))
-    members = sets.select("id", F.explode(F.array_distinct(_bands(F.col("hashes")))).alias("bucket"))
+    signed = docs.select(F.col(id_col).alias("id"), _bands(hashes).alias("buckets"))
+    members = signed.select("id", F.explode("buckets").alias("bucket"))
     shared = members.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
     open_ = cut_lineage(members.join(shared.select("bucket"), "bucket", "left_semi"))
-    done = None
+    # the sets, as large as the texts, are kept only for documents with company
+    sets = cut_lineage(
+        docs.withColumnRenamed(id_col, "id")
+        .join(open_.select("id").distinct(), "id", "left_semi")
+        .select("id", hashes.alias("hashes"))
+    )
+    done = sets.select(
+        "id", F.col("id").alias("leader"), F.lit(1.0).alias("jaccard")).limit(0)
     rounds = 0
     while not open_.isEmpty():
         rounds += 1
@@ -123,16 +147,13 @@ def near_duplicate_links(
             .select("id", "leader", jaccard(F.col("hashes"), F.col("other")).alias("jaccard"))
         )
         linked = compared.filter(F.col("jaccard") >= threshold)
-        done = linked if done is None else done.unionByName(linked)
+        done = done.unionByName(linked)
         if rounds % _COMPACT_EVERY == 0:
             done = cut_lineage(done)
         open_ = cut_lineage(
             led.join(linked.select("id", "leader"), ["id", "leader"], "left_anti")
             .select("id", "bucket")
         )
-    if done is None:
-        return sets.select("id", F.col("id").alias("leader"),
-                           F.lit(1.0).alias("jaccard")).limit(0)
     return done.distinct()
 
 
@@ -194,25 +215,17 @@ def near_duplicate_groups(
     Equal texts are folded first, so a text copied any number of times enters the buckets
     once. Kept is the longest text, then the largest id.
     """
-    base = cut_lineage(docs.select(
-        F.col(id_col).alias("id"),
-        F.length(text).alias("chars"),
-        F.sha2(normalized(F.col(text)), 256).alias("copy_key"),
-        F.col(text).alias("text"),
-    ))
-    first = base.groupBy("copy_key").agg(F.min("id").alias("first_id"))
-    # only the first copies need their text again
-    distinct_docs = base.join(
-        first.select(F.col("first_id").alias("id")), "id", "left_semi"
-    ).select("id", shingles(F.col("text"), words).alias("hashes"))
-    links = near_duplicate_links(distinct_docs, "id", "hashes", threshold)
+    copies = cut_lineage(_copies(docs, id_col, text))
+    first = copies.groupBy("copy_key").agg(F.min("id").alias("first_id"))
+    firsts = copies.join(first, "copy_key")
+    repeats = firsts.filter("id <> first_id").select(F.col("id").alias(id_col))
+    distinct_docs = docs.select(id_col, text).join(repeats, id_col, "left_anti")
+    links = near_duplicate_links(
+        distinct_docs, id_col, shingles(F.col(text), words), threshold)
     labels = connected_labels(links)
-    grouped = (
-        base.select("id", "chars", "copy_key")
-        .join(first, "copy_key")
-        .join(labels.select(F.col("id").alias("first_id"), "label"), "first_id", "left")
-        .select("id", "chars", F.coalesce("label", "first_id").alias("group_id"))
-    )
+    grouped = firsts.join(
+        labels.select(F.col("id").alias("first_id"), "label"), "first_id", "left"
+    ).select("id", "chars", F.coalesce("label", "first_id").alias("group_id"))
     best = grouped.groupBy("group_id").agg(F.max(F.struct("chars", "id"))["id"].alias("best"))
     return grouped.join(best, "group_id").select(
         "id", "group_id", (F.col("id") == F.col("best")).alias("kept")

@@ -110,16 +110,14 @@ def links_per_file(edges: DataFrame) -> DataFrame:
 
 def missing_targets(edges: DataFrame, files: DataFrame) -> DataFrame:
     """(missing, source, reason, n_sources) of relative targets that are no file."""
-    lost = edges.filter("is_relative").join(
-        files.select(F.col("path").alias("dst")), "dst", "left_anti"
+    # grouped before the anti join, so that a target wanted from everywhere is one row
+    wanted = edges.filter("is_relative").groupBy("dst").agg(
+        F.min(F.struct("src", "pos", "spec")).alias("first"), F.count("*").alias("n_links")
     )
-    return lost.groupBy(F.col("dst").alias("missing")).agg(
-        F.min("src").alias("source"),
-        F.min_by("spec", F.struct("src", "pos")).alias("_spec"),
-        F.count("*").alias("n_links"),
-    ).select(
-        "missing", "source",
-        F.concat(F.lit("imported as "), "_spec").alias("reason"), "n_links",
+    lost = wanted.join(files.select(F.col("path").alias("dst")), "dst", "left_anti")
+    return lost.select(
+        F.col("dst").alias("missing"), F.col("first.src").alias("source"),
+        F.concat(F.lit("imported as "), "first.spec").alias("reason"), "n_links",
     )
 
 

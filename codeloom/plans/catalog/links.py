@@ -36,7 +36,7 @@ def reached(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 def reached_context(spark: SparkSession, sf_dir: str):
     """(order, edges, users, files): what the reports are made from."""
     order, edges = reached(spark, sf_dir)
-    users = graph.used_by(edges, order, X.PER_ROW)
+    users = cut_lineage(graph.used_by(edges, order, X.PER_ROW))
     files = corpora.ts_paths(spark, sf_dir)
     return order.select("path", "seq"), edges, users, files
 

@@ -69,7 +69,10 @@ def read_requested(requests: DataFrame, files: DataFrame, missing: str = "error"
     with an error, or no row with ``missing="skip"``."""
     if missing not in ("error", "skip"):
         raise ValueError("missing must be 'error' or 'skip'")
-    known = files.select("path", "content", F.lit(True).alias("_known"))
+    # contents of other files are dropped before the join, so they are not shuffled
+    known = files.select("path", "content", F.lit(True).alias("_known")).join(
+        requests.select("path").distinct(), "path", "left_semi"
+    )
     how = "left" if missing == "error" else "inner"
     return requests.join(known, "path", how).withColumn(
         "error", F.when(F.col("_known").isNull(), F.lit(NOT_FOUND))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from codeloom import fixed_values as V
 from codeloom.functions.text import history_entry
 from codeloom.operators.dedup import keep_best
+from codeloom.session import cut_lineage
 
 
 def _notes(rows: DataFrame, run_id: str) -> DataFrame:
@@ -30,8 +31,9 @@ def read_notes(spark: SparkSession, target: str) -> DataFrame:
 def write_report(lines: DataFrame, target: str, run_id: str) -> None:
     """Text lines per report (report, section, seq, kind, pos, line) as ordered text files:
     the files of a report, in name order, are its text. Nothing is brought to one task."""
+    # the sort reads its input twice, once to find the ranges
     (
-        lines.orderBy("report", "section", "seq", "kind", "pos")
+        cut_lineage(lines).orderBy("report", "section", "seq", "kind", "pos")
         .select("report", "line")
         .write.mode("overwrite").partitionBy("report")
         .text(f"{target}/run_id={run_id}")
