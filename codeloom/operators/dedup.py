@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -106,10 +106,23 @@ def band_keys(hashes: np.ndarray) -> np.ndarray:
     return keys.view(np.int64)
 
 
-@F.pandas_udf(T.ArrayType(T.LongType()))
-def _bands(hashes: pd.Series) -> pd.Series:
-    # dozens of hashes per word: numpy here is far faster than as many array expressions
-    return hashes.map(band_keys)
+def _bucket_members(docs: DataFrame, id_col: str, hashes: Column) -> DataFrame:
+    """(id, bucket) of every document and band. Dozens of hashes per word are far faster in
+    numpy than as array expressions; a document never leaves its task."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            keys = [band_keys(h) for h in batch["hashes"]]
+            yield pd.DataFrame({
+                "id": batch["id"].repeat([len(k) for k in keys]),
+                "bucket": np.concatenate(keys) if keys else np.array([], np.int64),
+            })
+
+    schema = T.StructType([
+        T.StructField("id", docs.schema[id_col].dataType),
+        T.StructField("bucket", T.LongType()),
+    ])
+    return docs.select(F.col(id_col).alias("id"), hashes.alias("hashes")).mapInPandas(run, schema)
 
 
 def near_duplicate_links(
@@ -122,8 +135,7 @@ def near_duplicate_links(
     new leader, until every bucket is used up. So all members are compared, but a bucket of
     n members costs n comparisons per round, never n * n pairs.
     """
-    signed = docs.select(F.col(id_col).alias("id"), _bands(hashes).alias("buckets"))
-    members = signed.select("id", F.explode("buckets").alias("bucket"))
+    members = _bucket_members(docs, id_col, hashes)
     shared = members.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
     open_ = cut_lineage(members.join(shared.select("bucket"), "bucket", "left_semi"))
     # the sets, as large as the texts, are kept only for documents with company
