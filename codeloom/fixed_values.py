@@ -32,7 +32,7 @@ IMPORT_LINE = r"(?m)^import\s.+;$"
 IMPORT_TARGET = r"(?m)^import\s+.*?['\"](.+?)['\"];?"
 
 TS_TYPE_HEADER = r"^(export\s+)?(type|interface)\s+(\w+)[^=\n]*[=\{]"
-TS_TYPE_END = r"^(\}|export|type|interface|function)"
+TS_TYPE_ENDS = ("}", "export", "type", "interface", "function")
 TS_EXPORTED_FUNCTION = r"(?m)^export\s+function\s+(\w+)\s*\([^)]*\)\s*(:\s*[^\{\n]+)?\s*\{"
 
 JAVA_TYPE_HEADER = r"^(\s*)?(public\s+)?(class|interface)\s+(\w+)"

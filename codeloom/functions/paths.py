@@ -15,7 +15,7 @@ def extension(path: Column) -> Column:
 
 
 def base_name(path: Column) -> Column:
-    return F.regexp_extract(path, r"([^/]*)$", 1)
+    return F.substring_index(path, "/", -1)
 
 
 def stem(path: Column) -> Column:
@@ -26,7 +26,7 @@ def stem(path: Column) -> Column:
 
 def directory(path: Column) -> Column:
     """Everything before the last slash, ``''`` for a bare name."""
-    return F.regexp_extract(path, r"^(.*)/[^/]*$", 1)
+    return F.substring(path, F.lit(1), F.length(path) - F.length(base_name(path)) - 1)
 
 
 def _fold(path: Column, absolute: Column) -> Column:
@@ -44,8 +44,22 @@ def _fold(path: Column, absolute: Column) -> Column:
     return F.aggregate(F.split(path, "/"), F.array().cast("array<string>"), step)
 
 
+_PARENT_STEP = r"(^|/)(?!\.{1,2}/)[^/]+/\.\./(?=[^/])"  # a folder and the way back out of it
+_TO_FOLD = r"(^|/)\.{0,2}(/|$)"  # segments that are empty, ``.`` or ``..``
+
+
 def normalize_path(path: Column) -> Column:
-    """Fold ``.`` and ``..``; a relative path keeps the ``..`` it cannot resolve."""
+    """Fold ``.`` and ``..``; a relative path keeps the ``..`` it cannot resolve.
+
+    Most paths are done after one replacement; only the others are folded by segment.
+    """
+    return let(
+        F.regexp_replace(path, _PARENT_STEP, "$1"),
+        lambda p: F.when(p.rlike(_TO_FOLD), _folded(p)).otherwise(p),
+    )
+
+
+def _folded(path: Column) -> Column:
     absolute = path.startswith("/")
 
     def shown(body: Column) -> Column:
@@ -62,7 +76,7 @@ def normalize_path(path: Column) -> Column:
 def join_paths(*parts: Column) -> Column:
     """Join non-empty parts with ``/`` and normalise."""
     return let(
-        F.concat_ws("/", *[F.when(p != "", p) for p in parts]), normalize_path
+        F.concat_ws("/", *[F.nullif(p, F.lit("")) for p in parts]), normalize_path
     )
 
 

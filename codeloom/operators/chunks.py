@@ -46,26 +46,22 @@ def _refine(pieces: Column, pattern: str, size: int) -> Column:
 
 def _pieces(content: Column, lang: Column, size: int, cell: int) -> Column:
     """Gapless pieces of at most ``size`` characters: cut before language boundaries, and
-    where that is not enough before empty lines, newlines, blanks, then every ``cell``."""
+    where that is not enough before empty lines, then newlines, then into cells of up to
+    ``cell`` characters that end before a blank if there is one."""
     pieces = F.when(F.length(content) <= size, F.array(content)).otherwise(
         F.filter(F.split(content, _boundary_pattern(lang)), lambda x: x != "")
     )
-    for finer in (r"(?=\n\n)", r"(?=\n)", r"(?= )"):
+    for finer in (r"(?=\n\n)", r"(?=\n)"):
         pieces = _refine(pieces, finer, size)
+    cells = F.lit(rf"(?s).{{1,{cell}}}(?= |\z)|.{{1,{cell}}}")
     return F.flatten(F.transform(
         pieces,
         lambda p: F.when(F.length(p) <= size, F.array(p)).otherwise(
-            fixed_windows(p, cell, 0)
+            F.regexp_extract_all(p, cells, F.lit(0))
         ),
     ))
 
 
-_PACK = (
-    "struct<open:array<string>,chars:int,shared:int,"
-    "done:array<struct<chunk:string,overlap:int>>>"
-)
-
-
 def _pack(pieces: Column, size: int, overlap: int) -> Column:
     """Fill chunks with pieces in order; a chunk starts with the last whole pieces of the
     one before, as long as these stay within ``overlap`` and leave room for the next."""
@@ -74,18 +70,18 @@ def _pack(pieces: Column, size: int, overlap: int) -> Column:
         return F.struct(
             open_.alias("open"), chars.alias("chars"), shared.alias("shared"),
             done.alias("done"),
-        ).cast(_PACK)
+        )
 
     def closed(s: Column) -> Column:
         return F.array_append(s["done"], F.struct(
             F.array_join(s["open"], "").alias("chunk"), s["shared"].alias("overlap")
-        ).cast("struct<chunk:string,overlap:int>"))
+        ))
 
     def tail(s: Column, room: Column) -> Column:
         start = F.struct(
             F.array().cast("array<string>").alias("kept"), F.lit(0).alias("chars"),
             F.lit(True).alias("more"),
-        ).cast("struct<kept:array<string>,chars:int,more:boolean>")
+        )
 
         def take(t: Column, piece: Column) -> Column:
             fits = t["more"] & (t["chars"] + F.length(piece) <= room)
@@ -95,7 +91,7 @@ def _pack(pieces: Column, size: int, overlap: int) -> Column:
                 F.lit(True).alias("more"),
             )).otherwise(F.struct(
                 t["kept"].alias("kept"), t["chars"].alias("chars"), F.lit(False).alias("more")
-            )).cast("struct<kept:array<string>,chars:int,more:boolean>")
+            ))
 
         return F.aggregate(F.reverse(s["open"]), start, take)
 
@@ -107,7 +103,8 @@ def _pack(pieces: Column, size: int, overlap: int) -> Column:
 
     return F.aggregate(
         pieces,
-        state(F.array(), F.lit(0), F.lit(0), F.array()),
+        state(F.array().cast("array<string>"), F.lit(0), F.lit(0),
+              F.array().cast("array<struct<chunk:string,overlap:int>>")),
         lambda s, p: F.when(
             s["chars"] + F.length(p) <= size,
             state(F.array_append(s["open"], p), s["chars"] + F.length(p), s["shared"], s["done"]),

@@ -33,8 +33,11 @@ def _text(template: str, **values: Column) -> Column:
 
 
 def _import_lines(pairs: DataFrame, key: str, target: str, template: str) -> DataFrame:
-    """(key, imports): one import line per distinct target, in target order."""
-    return pairs.select(key, target).distinct().groupBy(key).agg(
+    """(key, imports): one import line per distinct target, in target order. Spread by key
+    once, for both steps; the lines take more work than their size lets Spark expect."""
+    partitions = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = pairs.select(key, target).repartition(partitions, key)
+    return spread.distinct().groupBy(key).agg(
         F.array_join(
             F.transform(F.array_sort(F.collect_list(target)), lambda k: _text(template, k=k)),
             "",
