@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import os
 from collections.abc import Sequence
+from urllib.parse import unquote
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeloom.functions.filters import PathFilter, has_extension, path_kept
@@ -15,7 +16,24 @@ from codeloom.operators.declarations import structural_summary
 NOT_FOUND = "not found"
 
 
-def _scan(spark: SparkSession, directory: str, glob: str | None = None) -> tuple[DataFrame, str]:
+def _empty_files(spark: SparkSession, scanned: DataFrame) -> DataFrame:
+    """Files without content, which Spark's scans leave out: the names in the file index of
+    the scan that the scan does not return."""
+    names = [(unquote(name),) for name in scanned.inputFiles()]
+    listed = spark.createDataFrame(names, "path string")
+
+    def plain(path: str) -> Column:
+        # index and scan may write the empty authority of a path differently
+        return F.regexp_replace(path, r"^(\w+):/+", "$1:/").alias("path")
+
+    return listed.select(plain("path")).join(
+        scanned.select(plain("path")), "path", "left_anti"
+    ).select("path", F.lit(0).cast("long").alias("length"), F.lit(b"").alias("content"))
+
+
+def _scan(
+    spark: SparkSession, directory: str, empty_files: bool, glob: str | None = None
+) -> tuple[DataFrame, str]:
     """Binary scan with the path made relative; content is only read when selected."""
     base = directory.rstrip("/")
     if "://" not in base and not base.startswith("file:"):
@@ -26,16 +44,23 @@ def _scan(spark: SparkSession, directory: str, glob: str | None = None) -> tuple
     bare = base.split(":", 1)[1].lstrip("/") if ":" in base.split("/", 1)[0] else base.lstrip("/")
     start = F.position(F.lit(f"/{bare}/"), F.col("path"))
     relative = F.substring("path", start + len(bare) + 2, F.length("path"))
-    return reader.load(base).withColumn("path", relative), base
+    scanned = reader.load(base).select("path", "length", "content")
+    if empty_files:
+        scanned = scanned.unionByName(_empty_files(spark, scanned))
+    return scanned.withColumn("path", relative), base
 
 
 def list_files(
     spark: SparkSession, directory: str, include: PathFilter = None,
-    exclude: PathFilter = None,
+    exclude: PathFilter = None, empty_files: bool = True,
 ) -> DataFrame:
     """(path, size) below ``directory``. Text filters see the relative path, pattern
-    filters see the folder too."""
-    files, base = _scan(spark, directory)
+    filters see the folder too.
+
+    To find empty files, the names of all files go through the driver, which lists them for
+    any scan; ``empty_files=False`` spares that for trees that have none.
+    """
+    files, base = _scan(spark, directory, empty_files)
     return files.filter(path_kept(F.col("path"), include, exclude, base)).select(
         "path", F.col("length").alias("size")
     )
@@ -49,12 +74,12 @@ def list_by_extension(
 
 def read_files(
     spark: SparkSession, directory: str, extensions: Sequence[str] = (),
-    include: PathFilter = None, exclude: PathFilter = None,
+    include: PathFilter = None, exclude: PathFilter = None, empty_files: bool = True,
 ) -> DataFrame:
     """(path, size, content) with invalid UTF-8 replaced. One extension is also given to
     the scan as a name pattern, so that other files are not even opened."""
     glob = f"*{extensions[0]}" if len(extensions) == 1 else None
-    files, base = _scan(spark, directory, glob)
+    files, base = _scan(spark, directory, empty_files, glob)
     return files.filter(
         path_kept(F.col("path"), include, exclude, base)
         & has_extension(F.col("path"), extensions, case_sensitive=glob is not None)
