@@ -60,7 +60,7 @@ def drop_exact_duplicates(
     Only ids, lengths and hashes are grouped. The texts meet the ids to drop in an anti
     join, which needs no shuffle of the texts while these ids are few enough to broadcast.
     """
-    copies = _copies(docs, id_col, text)
+    copies = cut_lineage(_copies(docs, id_col, text))  # narrow, and read twice
     best = copies.groupBy("copy_key").agg(
         F.max(F.struct("chars", "id"))["id"].alias("best"), F.count("*").alias("n")
     ).filter("n > 1")

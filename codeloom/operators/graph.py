@@ -15,15 +15,17 @@ CHAIN_SEPARATOR = " > "
 
 
 def breadth_first(
-    edges: DataFrame, entries: Sequence[str], max_depth: int | None = None
+    edges: DataFrame, entries: Sequence[str], max_depth: int | None = None,
+    chains: bool = False,
 ) -> DataFrame:
-    """Files reachable from ``entries``: (path, depth, parent, seq, chain).
+    """Files reachable from ``entries``: (path, depth, parent, seq).
 
     ``seq`` is the order in which a first-in-first-out queue would take the files;
-    ``parent`` is the file that queued it first, ``chain`` the way from the entry. A level
-    is one join, so the number of Spark jobs follows the depth, not the files. Each file
-    keeps only its smallest (parent seq, position), found before the shuffle as far as
-    possible, so that a file imported from everywhere is one row per map task.
+    ``parent`` is the file that queued it first; ``chains=True`` adds ``chain``, the way from
+    the entry. A level is one join, so the number of Spark jobs follows the depth, not the
+    files. Each file keeps only its smallest (parent seq, position), found before the
+    shuffle as far as possible, so that a file imported from everywhere is one row per map
+    task.
     """
     spark = edges.sparkSession
     # spread and sorted by source once, so that no level shuffles or sorts the links again
@@ -38,16 +40,20 @@ def breadth_first(
         F.lit(0).cast("long").alias("depth"),
         F.lit(None).cast("string").alias("parent"),
         F.col("seq").cast("long").alias("seq"),
-        F.col("path").alias("chain"),
     )
+    if chains:
+        level = level.withColumn("chain", F.col("path"))
+    columns = level.columns
     seen, taken, depth = level, len(start), 0
     while max_depth is None or depth < max_depth:
         depth += 1
-        first = F.min(F.struct("parent_seq", "pos", "parent", "parent_chain"))
+        parents = level.select(
+            F.col("path").alias("src"), F.col("path").alias("parent"),
+            F.col("seq").alias("parent_seq"), *(["chain"] if chains else []))
+        first = F.min(F.struct(
+            "parent_seq", "pos", "parent", *(["chain"] if chains else [])))
         found = (
-            level.select(F.col("path").alias("src"), F.col("path").alias("parent"),
-                         F.col("seq").alias("parent_seq"), F.col("chain").alias("parent_chain"))
-            .join(links, "src")
+            parents.join(links, "src")
             .groupBy(F.col("dst").alias("path"))
             .agg(first.alias("first"))
             .join(seen.select("path"), "path", "left_anti")
@@ -55,12 +61,12 @@ def breadth_first(
         fresh = found.select(
             "path",
             F.lit(depth).cast("long").alias("depth"),
-            "first.parent",
-            F.concat("first.parent_chain", F.lit(CHAIN_SEPARATOR), "path").alias("chain"),
-            "first.parent_seq", "first.pos",
+            "first.*",
         )
+        if chains:
+            fresh = fresh.withColumn("chain", F.concat("chain", F.lit(CHAIN_SEPARATOR), "path"))
         numbered, count = with_dense_index(fresh, ["parent_seq", "pos"], "seq", taken)
-        level = numbered.select("path", "depth", "parent", "seq", "chain")
+        level = numbered.select(*columns)
         if count == 0:
             break
         taken += count

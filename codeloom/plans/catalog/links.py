@@ -26,11 +26,13 @@ def entry_file(spark: SparkSession, sf_dir: str) -> str:
     return f"src/orders/o{key}.ts"
 
 
-def reached(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def reached(
+    spark: SparkSession, sf_dir: str, chains: bool = False
+) -> tuple[DataFrame, DataFrame]:
     """Walk from the entry file: (reached files, all edges)."""
     edges = cut_lineage(_edges(spark, sf_dir).select(
         "src", F.col("pos").cast("long").alias("pos"), "spec", "dst", "is_relative"))
-    return graph.breadth_first(edges, [entry_file(spark, sf_dir)]), edges
+    return graph.breadth_first(edges, [entry_file(spark, sf_dir)], chains=chains), edges
 
 
 def reached_context(spark: SparkSession, sf_dir: str):
@@ -84,7 +86,7 @@ def g5_discovery_parent(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def g6_chain_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reached(spark, sf_dir)[0].select("path", "depth", "chain")
+    return reached(spark, sf_dir, chains=True)[0].select("path", "depth", "chain")
 
 
 def g7_reverse_dependencies(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -32,12 +32,17 @@ def _text(template: str, **values: Column) -> Column:
     return F.concat(*pieces)
 
 
+def _spread(rows: DataFrame, key: str) -> DataFrame:
+    """Narrow rows over all tasks by key: the texts made from them are far larger and take
+    more work than the size of the rows lets Spark expect."""
+    partitions = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(partitions, key)
+
+
 def _import_lines(pairs: DataFrame, key: str, target: str, template: str) -> DataFrame:
     """(key, imports): one import line per distinct target, in target order. Spread by key
-    once, for both steps; the lines take more work than their size lets Spark expect."""
-    partitions = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    spread = pairs.select(key, target).repartition(partitions, key)
-    return spread.distinct().groupBy(key).agg(
+    once, for both steps."""
+    return _spread(pairs.select(key, target), key).distinct().groupBy(key).agg(
         F.array_join(
             F.transform(F.array_sort(F.collect_list(target)), lambda k: _text(template, k=k)),
             "",
@@ -69,7 +74,7 @@ def ts_modules(spark: SparkSession, sf_dir: str) -> DataFrame:
     cycle) and a nation file that does not exist."""
     items = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey")
     none = F.lit("")
-    orders = table(spark, sf_dir, "orders").select("o_orderkey").join(
+    orders = _spread(table(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey").join(
         _import_lines(items, "l_orderkey", "l_partkey", 'import { p{k} } from "../parts/p{k}";\n'),
         F.col("o_orderkey") == F.col("l_orderkey"), "left",
     ).select(
@@ -77,7 +82,8 @@ def ts_modules(spark: SparkSession, sf_dir: str) -> DataFrame:
         _text(ORDER_FILE, n=F.col("o_orderkey"),
               imports=F.coalesce("imports", none)).alias("content"),
     )
-    parts = table(spark, sf_dir, "part").select("p_partkey", "p_size").join(
+    sizes = table(spark, sf_dir, "part").select("p_partkey", "p_size")
+    parts = _spread(sizes, "p_partkey").join(
         _import_lines(items, "l_partkey", "l_suppkey",
                       'import { s{k} } from "../supp/s{k}.js";\n'),
         F.col("p_partkey") == F.col("l_partkey"), "left",
@@ -179,7 +185,7 @@ interface Side{n} {
 
 
 def java_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "part").select(
+    return _spread(table(spark, sf_dir, "part"), "p_partkey").select(
         F.concat(F.lit("java/P"), "p_partkey", F.lit(".java")).alias("path"),
         _text(JAVA_FILE, n=F.col("p_partkey"), name=F.col("p_name"), type=F.col("p_type"),
               size=F.col("p_size")).alias("content"),

@@ -41,7 +41,7 @@ def walked(df):
 
 def test_walk_of_cycle_self_loop_and_unreachable(spark):
     pairs = [("a", "b"), ("b", "b"), ("b", "c"), ("c", "a"), ("x", "y")]
-    df = graph.breadth_first(edges_df(spark, pairs), ["a"])
+    df = graph.breadth_first(edges_df(spark, pairs), ["a"], chains=True)
     assert walked(df) == queue_walk(pairs, ["a"])
     assert {r["path"]: r["chain"] for r in df.collect()} == {
         "a": "a", "b": "a > b", "c": "a > b > c"}
