@@ -91,51 +91,64 @@ _MASKS = np.random.default_rng(43).integers(0, 1 << 63, SIGNATURES, np.uint64)
 _HASHES_AT_ONCE = 1 << 14
 
 
-def band_keys(hashes: np.ndarray) -> np.ndarray:
-    """Bucket keys of one document: minima of seeded hashes, a few per band."""
+def minima(hashes: np.ndarray) -> np.ndarray:
+    """Signature of one document: the smallest value of every seeded hash."""
     values = np.asarray(hashes).astype(np.int64).view(np.uint64)
-    minima = np.full(SIGNATURES, np.iinfo(np.uint64).max, np.uint64)
+    lowest = np.full(SIGNATURES, np.iinfo(np.uint64).max, np.uint64)
     for start in range(0, len(values), _HASHES_AT_ONCE):
         some = values[start:start + _HASHES_AT_ONCE, None]
-        minima = np.minimum(minima, ((some ^ _MASKS) * _FACTORS).min(axis=0))
-    bands = minima.reshape(-1, ROWS_PER_BAND)
-    keys = np.arange(len(bands), dtype=np.uint64)
-    for column in bands.T:
-        keys = (keys ^ column) * _FACTORS[0]
-        keys ^= keys >> np.uint64(31)
-    return keys.view(np.int64)
+        lowest = np.minimum(lowest, ((some ^ _MASKS) * _FACTORS).min(axis=0))
+    return lowest.view(np.int64)
 
 
-def _bucket_members(docs: DataFrame, id_col: str, hashes: Column) -> DataFrame:
-    """(id, bucket) of every document and band. Dozens of hashes per word are far faster in
-    numpy than as array expressions; a document never leaves its task."""
+def signatures(docs: DataFrame, id_col: str, hashes: Column) -> DataFrame:
+    """(id, minima) of every document. Dozens of hashes per word are far faster in numpy
+    than as array expressions; a document never leaves its task."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            keys = [band_keys(h) for h in batch["hashes"]]
-            yield pd.DataFrame({
-                "id": batch["id"].repeat([len(k) for k in keys]),
-                "bucket": np.concatenate(keys) if keys else np.array([], np.int64),
-            })
+            yield pd.DataFrame(
+                {"id": batch["id"], "minima": [minima(h) for h in batch["hashes"]]})
 
     schema = T.StructType([
         T.StructField("id", docs.schema[id_col].dataType),
-        T.StructField("bucket", T.LongType()),
+        T.StructField("minima", T.ArrayType(T.LongType())),
     ])
     return docs.select(F.col(id_col).alias("id"), hashes.alias("hashes")).mapInPandas(run, schema)
 
 
+def bucket_members(signed: DataFrame) -> DataFrame:
+    """(id, bucket), one bucket per band of the signature."""
+    bands = [
+        F.xxhash64(F.lit(start), *[F.get("minima", F.lit(start + k)) for k in range(ROWS_PER_BAND)])
+        for start in range(0, SIGNATURES, ROWS_PER_BAND)
+    ]
+    return signed.select("id", F.explode(F.array(*bands)).alias("bucket"))
+
+
+def _split_hot(open_: DataFrame, signed: DataFrame, place: int, split_above: int) -> DataFrame:
+    """Divide the buckets with more than ``split_above`` members by one more minimum."""
+    hot = open_.groupBy("bucket").agg(F.count("*").alias("n")).filter(F.col("n") > split_above)
+    marked = open_.join(hot.select("bucket", F.lit(True).alias("hot")), "bucket", "left")
+    divided = marked.filter("hot").join(signed, "id").select(
+        "id", F.xxhash64("bucket", F.get("minima", F.lit(place))).alias("bucket"))
+    return marked.filter("hot IS NULL").select("id", "bucket").unionByName(divided)
+
+
 def near_duplicate_links(
-    docs: DataFrame, id_col: str, hashes: Column, threshold: float
+    docs: DataFrame, id_col: str, hashes: Column, threshold: float, split_above: int = 64
 ) -> DataFrame:
     """(id, leader, jaccard): each document that shares a bucket is compared with the leader
     of the bucket, its smallest id, and is linked when their exact Jaccard is high enough.
 
-    Documents that are unlike their leader stay in the bucket for the next round, under a
-    new leader, until every bucket is used up. So all members are compared, but a bucket of
-    n members costs n comparisons per round, never n * n pairs.
+    Documents that are unlike their leader go on under a new leader, until every bucket is
+    used up. So a bucket of n members costs n comparisons per round, never n * n pairs: one
+    round is enough for copies of one text, however many. What is left of a bucket and
+    still large is not alike; it is divided by further minima of the signature, in which
+    like documents agree, so that the number of rounds does not follow the largest bucket.
     """
-    members = _bucket_members(docs, id_col, hashes)
+    signed = cut_lineage(signatures(docs, id_col, hashes))
+    members = bucket_members(signed)
     shared = members.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
     open_ = cut_lineage(members.join(shared.select("bucket"), "bucket", "left_semi"))
     # the sets, as large as the texts, are kept only for documents with company
@@ -162,10 +175,13 @@ def near_duplicate_links(
         done = done.unionByName(linked)
         if rounds % _COMPACT_EVERY == 0:
             done = cut_lineage(done)
-        open_ = cut_lineage(
+        left = cut_lineage(
             led.join(linked.select("id", "leader"), ["id", "leader"], "left_anti")
             .select("id", "bucket")
         )
+        open_ = cut_lineage(
+            _split_hot(left, signed, rounds % SIGNATURES, split_above)
+        ) if rounds < SIGNATURES else left
     return done.distinct()
 
 

@@ -5,7 +5,6 @@ from __future__ import annotations
 import random
 import re
 
-import numpy as np
 from pyspark.sql import functions as F
 
 from codeloom.operators import dedup
@@ -77,17 +76,42 @@ def leader_links(buckets, sets, threshold):
 def test_near_links_equal_plain_rounds(spark):
     docs = [d for d in corpus()]
     df = spark.createDataFrame(docs, "doc_id long, text string")
-    hashed = df.select("doc_id", dedup.shingles(F.col("text")).alias("h")).collect()
+    hashes = dedup.shingles(F.col("text"))
     buckets = {}
-    for row in hashed:
-        for key in dedup.band_keys(np.array(row["h"])):
-            buckets.setdefault(int(key), []).append(row["doc_id"])
+    for row in dedup.bucket_members(dedup.signatures(df, "doc_id", hashes)).collect():
+        buckets.setdefault(row["bucket"], []).append(row["id"])
     wanted = leader_links(buckets, {i: runs(t) for i, t in docs}, 0.8)
-    got = dedup.near_duplicate_links(df, "doc_id", dedup.shingles(F.col("text")), 0.8).collect()
+    got = dedup.near_duplicate_links(df, "doc_id", hashes, 0.8, split_above=1000).collect()
     assert {(r["id"], r["leader"]) for r in got} == wanted
     assert all(r["jaccard"] >= 0.8 for r in got)
 
 
+def test_hot_bucket_of_unlike_documents_ends_soon(spark, monkeypatch):
+    """Texts that share most of their words, yet are no near copies, fill every bucket."""
+    rng = random.Random(4)
+    common = [f"c{i}" for i in range(60)]
+    docs = [(i, " ".join(common + [f"u{i}x{k}" for k in range(16)])) for i in range(600)]
+    # two near copies among them, and many copies of one text
+    docs += [(1000 + i, docs[i][1] + " end") for i in range(5)]
+    docs += [(2000 + i, " ".join(f"k{k}" for k in range(80)) + f" v{i}") for i in range(120)]
+    rng.shuffle(docs)
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    hashes = dedup.shingles(F.col("text"))
+    sizes = dedup.bucket_members(dedup.signatures(df, "doc_id", hashes)).groupBy("bucket").count()
+    largest = sizes.agg(F.max("count")).first()[0]
+    cuts = []
+    real = dedup.cut_lineage
+    monkeypatch.setattr(dedup, "cut_lineage", lambda d: cuts.append(1) or real(d))
+    got = dedup.near_duplicate_links(df, "doc_id", hashes, 0.85, split_above=4).collect()
+    rounds = len(cuts) // 3  # three checkpoints per round
+    assert rounds < largest / 4, (rounds, largest)
+    linked = {(r["id"], r["leader"]) for r in got}
+    sets = {i: runs(t) for i, t in docs}
+    assert all(similarity(sets[a], sets[b]) >= 0.85 for a, b in linked)
+    assert {(1000 + i, i) for i in range(5)} <= linked
+    assert {(2000 + i, 2000) for i in range(1, 120)} <= linked
+
+
 def test_near_groups_follow_similarity(spark):
     docs = corpus()
     df = spark.createDataFrame(docs, "doc_id long, text string")
