@@ -6,7 +6,7 @@ import json
 
 from pyspark.sql import functions as F
 
-from codeloom.operators import inference
+from codeloom.operators import inference, search
 from codeloom.streaming import reviews
 
 
@@ -79,11 +79,27 @@ def test_routing(spark):
         "path string, needed_files array<string>, error string")
     good, problems = inference.route_errors(answers)
     assert [tuple(r) for r in problems.collect()] == [("b", "Error in file b: failed")]
-    hits = spark.createDataFrame([("a", ["y", "w"])], "path string, found array<string>")
+    hits = spark.createDataFrame([("a", "y"), ("a", "w")], "parent string, path string")
     needed = inference.needed_paths(good, hits).orderBy("pos").collect()
     assert [(r["parent"], r["path"]) for r in needed] == [("a", "x"), ("a", "y"), ("a", "w")]
 
 
+def test_usage_searches_of_answers(spark):
+    answers = spark.createDataFrame(
+        [("a", (r"\btotal\b", None, [".ts"])), ("b", (r"\btotal\b", "", [".TS"])),
+         ("c", ("TOT.l", "i", [])), ("d", ("(", None, [".ts"])), ("e", None),
+         ("f", ("total", "", [".js"]))],
+        "path string, search struct<regex:string,flags:string,fileTypes:array<string>>")
+    files = spark.createDataFrame(
+        [("x.ts", "total(1)"), ("y.ts", "subtotal"), ("z.js", "subtotal")],
+        "path string, content string")
+    for per_scan in (1, 100):
+        hits, invalid = search.usage_hits(inference.searches_of(answers), files, per_scan)
+        assert sorted(tuple(r) for r in hits.collect()) == [
+            ("a", "x.ts"), ("c", "x.ts"), ("c", "y.ts"), ("c", "z.js"), ("f", "z.js")]
+        assert [tuple(r) for r in invalid.collect()] == [("d", "(")]
+
+
 UPDATES = "section_key string, body string, updated_at timestamp, reason string"
 
 
