@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from codeloom.llm import bpe, content_sort, mixing, quality
+from codeloom.llm import bpe, content_sort, language, mixing, ngram_join, quality, toxicity
 from codeloom.plans.corpora import table
 
 
@@ -28,7 +28,24 @@ def op9_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_documents(spark, sf_dir))
 
 
+def op3_cross_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    return language.identify(docs, language.fit(docs))
+
+
+def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.components(_documents(spark, sf_dir))
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _documents(spark, sf_dir), table(spark, sf_dir, "labels")
+    return toxicity.score_documents(docs, toxicity.fit(docs, labels))
+
+
 QUERIES = {
+    "op10_toxicity": op10_toxicity,
+    "op4_ngram_jaccard": op4_ngram_jaccard,
+    "op3_cross_parsing": op3_cross_parsing,
     "op1_quality_rules": op1_quality_rules,
     "op2_bpe_documents": op2_bpe_documents,
     "op8_content_sort": op8_content_sort,

@@ -97,13 +97,15 @@ class Hashes:
         return mix64(spans + (ends - starts).astype(np.uint64))
 
 
-def words(data: np.ndarray, offsets: np.ndarray
+def words(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray | None = None
           ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(starts, ends, row) of the maximal runs without white space; runs end with their row."""
+    """(starts, ends, row) of the maximal runs without white space, or of the bytes marked
+    ``inside``; runs end with their row."""
     if not len(data):
         none = np.zeros(0, np.int64)
         return none, none, none
-    inside = (data != 32) & ((data < 9) | (data > 13))
+    if inside is None:
+        inside = (data != 32) & ((data < 9) | (data > 13))
     edge = np.zeros(len(data) + 1, bool)
     edge[offsets] = True
     starts = inside.copy()
