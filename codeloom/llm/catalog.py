@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from codeloom.llm import bpe, content_sort, language, mixing, ngram_join, quality, toxicity
+from codeloom.llm import bpe, content_sort, language, mixing, ngram_join, quality, suffix, token_counts, toxicity
 from codeloom.plans.corpora import table
 
 
@@ -42,7 +42,17 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(docs, toxicity.fit(docs, labels))
 
 
+def op6_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.remove_repeats(_documents(spark, sf_dir))
+
+
+def op7_edit_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.recounted(_documents(spark, sf_dir), token_counts.cleaning_edits)
+
+
 QUERIES = {
+    "op7_edit_counts": op7_edit_counts,
+    "op6_repeated_passages": op6_repeated_passages,
     "op10_toxicity": op10_toxicity,
     "op4_ngram_jaccard": op4_ngram_jaccard,
     "op3_cross_parsing": op3_cross_parsing,
