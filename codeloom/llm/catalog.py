@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from codeloom.llm import bpe, content_sort, language, mixing, ngram_join, quality, suffix, token_counts, toxicity
+from codeloom.llm import bpe, content_sort, language, lines, mixing, ngram_join, quality, suffix, token_counts, toxicity
 from codeloom.plans.corpora import table
 
 
@@ -50,7 +50,12 @@ def op7_edit_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.recounted(_documents(spark, sf_dir), token_counts.cleaning_edits)
 
 
+def op5_line_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.line_decisions(_documents(spark, sf_dir))
+
+
 QUERIES = {
+    "op5_line_join": op5_line_join,
     "op7_edit_counts": op7_edit_counts,
     "op6_repeated_passages": op6_repeated_passages,
     "op10_toxicity": op10_toxicity,

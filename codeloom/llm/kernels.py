@@ -105,7 +105,8 @@ def words(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray | None = Non
         none = np.zeros(0, np.int64)
         return none, none, none
     if inside is None:
-        inside = (data != 32) & ((data < 9) | (data > 13))
+        inside = per_process("inside", lambda: np.array(
+            [not (b == 32 or 9 <= b <= 13) for b in range(256)]))[data]
     edge = np.zeros(len(data) + 1, bool)
     edge[offsets] = True
     starts = inside.copy()
@@ -129,6 +130,28 @@ def distinct(row: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return keep
 
 
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of words with A to Z in lower case, eight bytes at a time."""
+    if not len(starts):
+        return np.zeros(0, np.uint64)
+    folded = np.zeros(len(data) + 16, np.uint8)
+    folded[:len(data)] = per_process("fold", lambda: np.frombuffer(
+        bytes(b + 32 if 65 <= b <= 90 else b for b in range(256)), np.uint8))[data]
+    eights = np.ndarray((len(data) + 8,), "<u8", folded, strides=(1,))
+    masks = per_process("masks", lambda: np.array(
+        [(1 << 8 * k) - 1 for k in range(8)] + [_MASK], np.uint64))
+    length = ends - starts
+    out = mix64((eights[starts] & masks[np.minimum(length, 8)])
+                + length.astype(np.uint64) * np.uint64(_STEP))
+    live, at = np.flatnonzero(length > 8), 8
+    while len(live):
+        part = eights[starts[live] + at] & masks[np.minimum(length[live] - at, 8)]
+        out[live] = mix64(out[live] * np.uint64(_STEP) + part)
+        at += 8
+        live = live[length[live] > at]
+    return out
+
+
 def shingles(hashes: np.ndarray, row: np.ndarray, rows: int, width: int = 5
              ) -> tuple[np.ndarray, np.ndarray]:
     """(row, hash) of the distinct runs of ``width`` words per row, in row order; a row with

@@ -47,7 +47,7 @@ def _sets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     16 bytes that depend on the set alone."""
     rows = len(offsets) - 1
     starts, ends, row = K.words(data, offsets)
-    hashes = K.Hashes(data, fold=True).of(starts, ends)
+    hashes = K.word_hashes(data, starts, ends)
     row, shingle = K.shingles(hashes, row, rows, WORDS)
     size = np.bincount(row, minlength=rows)
     keys = np.zeros((rows, 2), np.uint64)

@@ -41,7 +41,7 @@ class Words:
         low = data | 32
         letters = ((low >= 97) & (low <= 122)) | ((data >= 48) & (data <= 57)) | (data >= 128)
         starts, ends, self.row = K.words(data, offsets, letters)
-        hashes = K.Hashes(data, fold=True).of(starts, ends)
+        hashes = K.word_hashes(data, starts, ends)
         self.a = (hashes & np.uint64(BUCKETS - 1)).astype(np.int64)
         self.b = ((hashes >> np.uint64(32)) & np.uint64(BUCKETS - 1)).astype(np.int64)
         self.rows = len(offsets) - 1
