@@ -15,6 +15,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from codeloom.functions.text import let
 from codeloom.llm.tables import SPACE, same, stored, text_of
 
 #: Base rules: least words, and greatest share (percent) of words in repeated windows.
@@ -53,38 +54,45 @@ def statistics(docs: DataFrame, *keep: str, text_col: str = "text") -> DataFrame
 
     Null text has no words. A window of words is known by 64 bits of its words' hashes.
     """
-    rows = docs.select(*keep, text_of(text_col).alias("_text"))
-    split = rows.withColumn(
-        "_words", F.array_remove(F.split("_text", SPACE), "")
-    ).withColumn(
-        "_lines", F.filter(F.split("_text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
-    counted = split.select(
+    text = text_of(text_col)
+    split = docs.select(
+        *keep, text.alias("_text"), F.array_remove(F.split(text, SPACE), "").alias("_words"))
+    return split.select(
         *keep, F.size("_words").cast("long").alias("n_words"),
         F.length(F.concat_ws("", "_words")).cast("long").alias("word_chars"),
         (F.length("_text") - F.length(F.translate("_text", "#*$%&|<>", ""))).cast("long")
         .alias("n_symbols"),
-        (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long")
+        let(F.filter(F.split("_text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")),
+            lambda own: (F.size(own) - F.size(F.array_distinct(own))).cast("long"))
         .alias("n_dup_lines"),
-        F.transform("_words", lambda w: F.xxhash64(w)).alias("_h1"),
-    )
-    wide = counted.withColumn("_h2", _pairs_hash(F.col("_h1"), 1)).withColumn(
-        "_h4", _pairs_hash(F.col("_h2"), 2)).withColumn("_h8", _pairs_hash(F.col("_h4"), 4))
+        _repeated(F.col("_words")).cast("long").alias("n_repeat_words"))
+
+
+def _repeated(words: Column) -> Column:
+    """Words in windows that occur again: hashes of one, two, four and eight words, each
+    bound once."""
+    one = F.transform(words, lambda w: F.xxhash64(w))
+    return let(one, lambda h1: let(_pairs_hash(h1, 1), lambda h2: let(
+        _pairs_hash(h2, 2), lambda h4: let(_pairs_hash(h4, 4), _covered))))
+
+
+def _covered(windows: Column) -> Column:
     # most texts repeat no window: they need no positions
-    repeats = F.size("_h8") > F.size(F.array_distinct("_h8"))
-    placed = F.array_sort(F.transform("_h8", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-    sorted_ = wide.withColumn("_s", F.when(repeats, placed))
-    hit = F.filter("_s", lambda x, i: (
-        _or_zero((F.get("_s", i + 1)["h"] == x["h"]).cast("int"))
-        + _or_zero((F.get("_s", i - 1)["h"] == x["h"]).cast("int"))) > 0)
-    spots = sorted_.withColumn(
-        "_at", F.array_sort(F.transform(hit, lambda x: x["i"])))
-    covered = F.aggregate(
-        F.transform("_at", lambda p, i: F.least(
-            F.lit(WINDOW), F.coalesce(F.get("_at", i + 1), p + WINDOW) - p)),
-        F.lit(0), lambda total, x: total + x)
-    return spots.select(
-        *keep, "n_words", "word_chars", "n_symbols", "n_dup_lines",
-        F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"))
+    placed = F.array_sort(F.transform(windows, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+
+    def spots(s: Column) -> Column:
+        hit = F.filter(s, lambda x, i: (
+            _or_zero((F.get(s, i + 1)["h"] == x["h"]).cast("int"))
+            + _or_zero((F.get(s, i - 1)["h"] == x["h"]).cast("int"))) > 0)
+        return F.array_sort(F.transform(hit, lambda x: x["i"]))
+
+    def length(at: Column) -> Column:
+        steps = F.transform(at, lambda p, i: F.least(
+            F.lit(WINDOW), F.coalesce(F.get(at, i + 1), p + WINDOW) - p))
+        return F.aggregate(steps, F.lit(0), lambda total, x: total + x)
+
+    return F.when(F.size(windows) > F.size(F.array_distinct(windows)),
+                  let(placed, lambda s: let(spots(s), length))).otherwise(0)
 
 
 def base_failed() -> Column:
