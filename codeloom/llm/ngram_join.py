@@ -34,7 +34,7 @@ WORDS = 5
 #: Link at PERCENT * (size of the union) <= 100 * (size of the intersection).
 PERCENT = 75
 #: Random minima per set for the first links.
-MINIMA = 3
+MINIMA = 8
 #: Vertical fragments in which overlaps are counted.
 FRAGMENTS = 4
 #: Bytes of text whose shingles a task packs at a time.
