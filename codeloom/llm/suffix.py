@@ -32,6 +32,8 @@ from codeloom.llm.tables import key_filter, may_hold, partitions, stored, text_o
 MATCH, ANCHOR = 50, 20
 SIDE = MATCH - ANCHOR
 BLOCK = 1 << 22
+#: Indexes per fragment: contexts of one anchor share an index, which must fit in memory.
+INDEXES = 16
 _SALT = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -357,7 +359,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     likely = rows.mapInArrow(_passing(bits), schema)
     marked = stored(likely.join(_collected(found), ["rank", "key"]), "suffix-texts")
     read = marked.where(F.size("asks") > 0).select("rank", "key", "text", "asks").dropDuplicates(
-        ["rank", "key"]).mapInArrow(_read_contexts(fragments), _CONTEXTS)
+        ["rank", "key"]).mapInArrow(_read_contexts(fragments * INDEXES), _CONTEXTS)
     matched = read.groupBy("fragment").applyInArrow(_matched, _FOUND)
     late = _collected(matched).select("rank", "key", F.col("spans").alias("late"))
     cut = marked.select("id", "text", "rank", "key", "spans").join(
