@@ -22,7 +22,7 @@ def checkpoint_root(spark: SparkSession) -> str:
         return configured
     if sc.getCheckpointDir():
         return sc.getCheckpointDir()
-    if not sc.master.startswith("local"):
+    if sc.master != "local" and not sc.master.startswith("local["):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     folder = tempfile.mkdtemp(prefix="codeloom-")
     sc.setCheckpointDir(folder)
