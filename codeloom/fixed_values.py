@@ -55,12 +55,14 @@ JS_MODULE_MEMBER = r"(?m)^(?:module\.)?exports\.(\w+)\s*=.+;$"
 
 JSP_BLOCK = r"<%[=@!]?([\s\S]*?)%>"
 HTML_COMMENT = r"<!--([\s\S]*?)-->"
-HTML_TAG = r"<([a-zA-Z][^\s/>]*)([^>]*)>"
+# a quoted attribute value may hold >
+HTML_ATTRIBUTES = r"(?:=\s*+\"[^\"]*+\"|=\s*+'[^']*+'|[^>])*+"
+HTML_TAG = rf"<([a-zA-Z][^\s/>]*)({HTML_ATTRIBUTES})>"
 # comments, scripts and styles in document order, so that none is looked for inside another
 HTML_OPAQUE = (
     r"(?is)<!--.*?(?:-->|\z)"
-    r"|(<script\b[^>]*>).*?(?:</script\s*>|\z)"
-    r"|(<style\b[^>]*>).*?(?:</style\s*>|\z)"
+    rf"|(<script\b{HTML_ATTRIBUTES}>).*?(?:</script\s*>|\z)"
+    rf"|(<style\b{HTML_ATTRIBUTES}>).*?(?:</style\s*>|\z)"
 )
 
 # --- predicates -------------------------------------------------------------------------

@@ -6,15 +6,15 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from codeloom.functions.text import let
 from codeloom.session import cut_lineage
 
-SIGNATURES = 36
-ROWS_PER_BAND = 3
+SIGNATURES = 100
+ROWS_PER_BAND = 5
 _COMPACT_EVERY = 8
 
 
@@ -47,7 +47,9 @@ def _copies(docs: DataFrame, id_col: str, text: str) -> DataFrame:
     """(id, chars, copy_key): texts that are equal after normalising share a key."""
     return docs.select(
         F.col(id_col).alias("id"), F.length(text).alias("chars"),
-        F.sha2(normalized(F.col(text)), 256).alias("copy_key"),
+        # a text that is null is a copy of nothing
+        F.coalesce(F.sha2(normalized(F.col(text)), 256), F.concat(F.lit("null "), id_col))
+        .alias("copy_key"),
     )
 
 
@@ -126,26 +128,18 @@ def bucket_members(signed: DataFrame) -> DataFrame:
     return signed.select("id", F.explode(F.array(*bands)).alias("bucket"))
 
 
-def _split_hot(open_: DataFrame, signed: DataFrame, place: int, split_above: int) -> DataFrame:
-    """Divide the buckets with more than ``split_above`` members by one more minimum."""
-    hot = open_.groupBy("bucket").agg(F.count("*").alias("n")).filter(F.col("n") > split_above)
-    marked = open_.join(hot.select("bucket", F.lit(True).alias("hot")), "bucket", "left")
-    divided = marked.filter("hot").join(signed, "id").select(
-        "id", F.xxhash64("bucket", F.get("minima", F.lit(place))).alias("bucket"))
-    return marked.filter("hot IS NULL").select("id", "bucket").unionByName(divided)
-
-
 def near_duplicate_links(
-    docs: DataFrame, id_col: str, hashes: Column, threshold: float, split_above: int = 64
+    docs: DataFrame, id_col: str, hashes: Column, threshold: float
 ) -> DataFrame:
-    """(id, leader, jaccard): each document that shares a bucket is compared with the leader
-    of the bucket, its smallest id, and is linked when their exact Jaccard is high enough.
-
-    Documents that are unlike their leader go on under a new leader, until every bucket is
-    used up. So a bucket of n members costs n comparisons per round, never n * n pairs: one
-    round is enough for copies of one text, however many. What is left of a bucket and
-    still large is not alike; it is divided by further minima of the signature, in which
-    like documents agree, so that the number of rounds does not follow the largest bucket.
+    """(id, leader, jaccard): each document that shares a bucket is compared with leaders of
+    the bucket and is linked when their exact Jaccard is high enough.
+
+    The first leader of a bucket is its smallest id. Documents that are like no leader go on
+    to the next round, with twice as many leaders (the next smallest ids, compared with each
+    other too), until every bucket is used up. One round is enough for copies of
+    one text, however many. Unlike documents in one bucket cost as many comparisons as they
+    are unlike, but the rounds grow only with the logarithm of the largest bucket. The rule
+    does not depend on sizes, and no pair that a round should compare is left out.
     """
     signed = cut_lineage(signatures(docs, id_col, hashes))
     members = bucket_members(signed)
@@ -162,8 +156,10 @@ def near_duplicate_links(
     rounds = 0
     while not open_.isEmpty():
         rounds += 1
-        leaders = open_.groupBy("bucket").agg(F.min("id").alias("leader"))
-        led = open_.join(leaders, "bucket").filter("id <> leader")
+        by_id = Window.partitionBy("bucket").orderBy("id")
+        leaders = open_.withColumn("place", F.row_number().over(by_id)).filter(
+            F.col("place") <= 1 << (rounds - 1)).select("bucket", F.col("id").alias("leader"))
+        led = open_.join(leaders, "bucket").filter("id > leader")
         pairs = led.select("id", "leader").distinct()
         compared = cut_lineage(
             pairs.join(sets, "id")
@@ -175,13 +171,10 @@ def near_duplicate_links(
         done = done.unionByName(linked)
         if rounds % _COMPACT_EVERY == 0:
             done = cut_lineage(done)
-        left = cut_lineage(
-            led.join(linked.select("id", "leader"), ["id", "leader"], "left_anti")
-            .select("id", "bucket")
-        )
-        open_ = cut_lineage(
-            _split_hot(left, signed, rounds % SIGNATURES, split_above)
-        ) if rounds < SIGNATURES else left
+        used = leaders.select(F.col("leader").alias("id"), "bucket").unionByName(
+            led.join(linked.select("id", "leader"), ["id", "leader"], "left_semi")
+            .select("id", "bucket"))
+        open_ = cut_lineage(open_.join(used, ["id", "bucket"], "left_anti"))
     return done.distinct()
 
 
@@ -247,7 +240,8 @@ def near_duplicate_groups(
     first = copies.groupBy("copy_key").agg(F.min("id").alias("first_id"))
     firsts = copies.join(first, "copy_key")
     repeats = firsts.filter("id <> first_id").select(F.col("id").alias(id_col))
-    distinct_docs = docs.select(id_col, text).join(repeats, id_col, "left_anti")
+    distinct_docs = docs.select(id_col, text).where(F.col(text).isNotNull()).join(
+        repeats, id_col, "left_anti")
     links = near_duplicate_links(
         distinct_docs, id_col, shingles(F.col(text), words), threshold)
     labels = connected_labels(links)

@@ -85,26 +85,26 @@ def used_by(edges: DataFrame, order: DataFrame, per_row: int = 1000) -> DataFram
     """(path, part, used_by): the users of each file, among the files of ``order`` (path,
     seq), in that order and joined by comma.
 
-    A file with up to ``per_row`` users has one row, part 0. A file used from everywhere is
-    split by the sequence number of its users (part 1, 2, ...), at most ``per_row`` per
-    row, so no task and no row holds an unbounded group; all rows together are the list.
+    Users go by their sequence number: part 0 holds those below ``per_row``, part 1 the next
+    ones, and so on, parts without users have no row. So no task and no row holds an
+    unbounded group, and all rows of a file together are its list.
     """
-    pairs = reverse_dependencies(edges).join(
+    placed = reverse_dependencies(edges).join(
         order.select(F.col("path").alias("src"), "seq"), "src"
-    )
-    hot = pairs.groupBy("dst").count().filter(F.col("count") > per_row).select(
-        "dst", F.lit(True).alias("hot")
-    )
-    placed = pairs.join(hot, "dst", "left").withColumn(
-        "part",
-        F.when(F.col("hot"), F.floor(F.col("seq") / per_row) + 1).otherwise(0).cast("long"),
-    )
+    ).withColumn("part", F.floor(F.col("seq") / per_row).cast("long"))
     users = F.array_sort(F.collect_list(F.struct("seq", "src")))
     return placed.groupBy(F.col("dst").alias("path"), "part").agg(
         F.array_join(F.transform(users, lambda u: u["src"]), ", ").alias("used_by")
     )
 
 
+def first_and_further(users: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(path, part, used_by) of each file's first part, and of its other parts."""
+    first = users.groupBy("path").agg(F.min("part").alias("part"))
+    return (users.join(first, ["path", "part"], "left_semi"),
+            users.join(first, ["path", "part"], "left_anti"))
+
+
 def links_per_file(edges: DataFrame) -> DataFrame:
     """(path, links): targets of each file in source order. Such a group cannot grow beyond
     the imports of one file, which already was one row."""
@@ -115,7 +115,7 @@ def links_per_file(edges: DataFrame) -> DataFrame:
 
 
 def missing_targets(edges: DataFrame, files: DataFrame) -> DataFrame:
-    """(missing, source, reason, n_sources) of relative targets that are no file."""
+    """(missing, source, reason, n_links) of relative targets that are no file."""
     # grouped before the anti join, so that a target wanted from everywhere is one row
     wanted = edges.filter("is_relative").groupBy("dst").agg(
         F.min(F.struct("src", "pos", "spec")).alias("first"), F.count("*").alias("n_links")
@@ -147,14 +147,14 @@ def with_context(files: DataFrame, edges: DataFrame, order: DataFrame,
                  summaries: DataFrame, per_row: int = 1000) -> DataFrame:
     """Each file with its links, users and summary: (path, part, links, used_by, summary).
 
-    Part 0 holds links and summary, and the users unless they need rows of their own.
+    Part 0 holds links, summary and the first users; further users have rows of their own.
     """
-    users = used_by(edges, order, per_row)
+    first, further = first_and_further(used_by(edges, order, per_row))
     head = (
         files.select("path", F.lit(0).cast("long").alias("part"))
         .join(links_per_file(edges), "path", "left")
         .join(summaries.select("path", "summary"), "path", "left")
-        .join(users.filter("part = 0").select("path", "used_by"), "path", "left")
+        .join(first.select("path", "used_by"), "path", "left")
     )
-    more = users.filter("part > 0").join(files.select("path"), "path", "left_semi")
+    more = further.join(files.select("path"), "path", "left_semi")
     return head.unionByName(more, allowMissingColumns=True)

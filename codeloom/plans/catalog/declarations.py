@@ -119,11 +119,12 @@ _NL = "chr(10)"
 def _types(closed: bool) -> str:
     tail = f" || {_NL} || '}}'" if closed else ""
     return f"""
-SELECT {_ORDER}, 'Order' || o_orderkey AS name,
-  'interface Order' || o_orderkey || ' {{' || {_NL} || '  id: number;'{tail} AS text FROM orders
-UNION ALL SELECT {_ORDER}, 'Marker' || o_orderkey,
-  'interface Marker' || o_orderkey || ' {{' || {_NL} || '}}' FROM orders
-UNION ALL SELECT {_ORDER}, 'Id' || o_orderkey, 'type Id' || o_orderkey || ' = number;' FROM orders
+SELECT {_ORDER}, 'Basket' || o_orderkey AS name,
+  'interface Basket' || o_orderkey || ' {{' || {_NL} || '  lines: string[];'{tail} AS text
+FROM orders
+UNION ALL SELECT {_ORDER}, 'Sealed' || o_orderkey,
+  'interface Sealed' || o_orderkey || ' {{' || {_NL} || '}}' FROM orders
+UNION ALL SELECT {_ORDER}, 'Due' || o_orderkey, 'type Due' || o_orderkey || ' = Date;' FROM orders
 UNION ALL SELECT 'src/parts/p' || p_partkey || '.ts', 'Size' || p_partkey,
   'export type Size' || p_partkey || ' = ' || p_size || ';' FROM part"""
 
@@ -168,44 +169,45 @@ SELECT src AS path, CASE
     "e2_ts_types": _types(False),
     "e2_ts_types_closed": _types(True),
     "e3_ts_functions": f"""
-SELECT {_ORDER}, 'total' || o_orderkey AS name,
-  'export function total' || o_orderkey || '(q: number): number {{' AS text FROM orders""",
+SELECT {_ORDER}, 'tax' || o_orderkey AS name,
+  'export function tax' || o_orderkey || '(net: number): number {{' AS text FROM orders""",
     "e4_java_imports": _union(
-        _PART, "part", "'import java.util.List;'", "'import demo.brand.' || p_type || ';'"),
+        _PART, "part", "'import java.time.Instant;'", "'import freight.kind.' || p_type || ';'"),
     "e5_java_types": _union(
-        _PART, "part", "'public class P' || p_partkey || ' {'",
-        "'interface Side' || p_partkey || ' {'",
-        names=("'P' || p_partkey", "'Side' || p_partkey")),
+        _PART, "part", "'public class Crate' || p_partkey || ' {'",
+        "'interface Tariff' || p_partkey || ' {'",
+        names=("'Crate' || p_partkey", "'Tariff' || p_partkey")),
     "e6_java_annotations": f"""
-SELECT {_PART}, unnest(['P' || p_partkey, 'Side' || p_partkey, 'P' || p_partkey,
-    'getSize' || p_partkey, 'wide' || p_partkey, 'find' || p_partkey]) AS name,
-  unnest(['@Service|@Named("' || p_name || '")', '', '', '    @GetMapping("/size")',
-    '    @Deprecated', '']) AS annotations FROM part""",
+SELECT {_PART}, unnest(['Crate' || p_partkey, 'Tariff' || p_partkey, 'Crate' || p_partkey,
+    'volume' || p_partkey, 'ship' || p_partkey, 'quote' || p_partkey]) AS name,
+  unnest(['@Tracked|@Label("' || p_name || '")', '', '', '    @Cached(minutes = 5)',
+    '    @Audited', '']) AS annotations FROM part""",
     "e7_java_signatures": _union(
-        _PART, "part", "'    public P' || p_partkey || '(int size) ;'",
-        "'    public int getSize' || p_partkey || '() ;'",
-        "'    Part find' || p_partkey || '(int id);'",
-        names=("'P' || p_partkey", "'getSize' || p_partkey", "'find' || p_partkey")),
+        _PART, "part", "'    public Crate' || p_partkey || '(Route home) ;'",
+        "'    public long volume' || p_partkey || '() ;'",
+        "'    Money quote' || p_partkey || '(Route route);'",
+        names=("'Crate' || p_partkey", "'volume' || p_partkey", "'quote' || p_partkey")),
     "e8_java_long_signatures": f"""
-SELECT {_PART}, 'wide' || p_partkey AS name, '    public void wide' || p_partkey || '(' || {_NL}
-  || '        int a,' || {_NL} || '        String b' || {_NL} || '    ) ;' AS text FROM part""",
-    "e9_js_imports": f"SELECT {_SUPP}, 'import fs from ''fs'';' AS text FROM supplier",
+SELECT {_PART}, 'ship' || p_partkey AS name, '    public void ship' || p_partkey || '(' || {_NL}
+  || '        Route route,' || {_NL} || '        Instant start' || {_NL} || '    ) ;' AS text FROM part""",
+    "e9_js_imports": f"""
+SELECT {_SUPP}, 'import {{ stat }} from ''node:fs'';' AS text FROM supplier""",
     "e10_js_requires": f"""
-SELECT {_SUPP}, 'const path = require(''path'');' AS text FROM supplier""",
+SELECT {_SUPP}, 'const tally = require(''./tally-' || s_suppkey || ''');' AS text FROM supplier""",
     "e11_js_comments": _union(
-        _SUPP, "supplier", "'//example.org/s' || s_suppkey || '\";'",
-        "'// supplier ' || s_suppkey",
-        f"'/* block' || {_NL} || ' comment ' || s_suppkey || ' */'"),
+        _SUPP, "supplier", "'//depot/' || s_suppkey || '\";'",
+        "'// closing time of ' || s_suppkey",
+        f"'/* Depot ' || s_suppkey || ': ' || s_name || {_NL} || '   opened once */'"),
     "e12_js_functions": f"""
-SELECT {_SUPP}, 'add' || s_suppkey AS name,
-  'export function add' || s_suppkey || '(a, b);' AS text FROM supplier""",
+SELECT {_SUPP}, 'weigh' || s_suppkey AS name,
+  'export function weigh' || s_suppkey || '(crate, tare);' AS text FROM supplier""",
     "e13_js_variables": _union(
         _SUPP, "supplier",
-        "'export const version' || s_suppkey || ' = ''1.0.' || s_suppkey || ''';'",
-        "'export let status' || s_suppkey || ' = ''' || s_name || ''';'",
-        names=("'version' || s_suppkey", "'status' || s_suppkey")),
-    "e14_js_object_exports": _exports("add", "version", "extra"),
-    "e15_js_member_exports": _exports("helper", "util"),
+        "'export let label' || s_suppkey || ' = \"' || s_name || '\";'",
+        "'export var site' || s_suppkey || ' = \"ftp://depot/' || s_suppkey || '\";'",
+        names=("'label' || s_suppkey", "'site' || s_suppkey")),
+    "e14_js_object_exports": _exports("weigh", "heavy", "limit"),
+    "e15_js_member_exports": _exports("depth", "close"),
     "e16_jsp_blocks": f"SELECT {_PAGE}, '<%= ' || page_id || ' %>' AS text FROM pages",
     "e17_html_tags": _VISIBLE + f"SELECT {_PAGE}, pos::INTEGER AS pos, text FROM tags",
     "e18_html_comments": f"""
@@ -214,16 +216,16 @@ SELECT {_PAGE}, unnest(regexp_extract_all(html, '(?s)<!--.*?-->', 0)) AS text FR
     "e19_styles": f"SELECT {_PAGE}, {_BODY.replace('{tag}', 'style')} AS text FROM pages",
     "a6_structural_summary": f"""
 SELECT {_SUPP}, array_to_string([
-  'import fs from ''fs'';',
-  'const path = require(''path'');',
-  '//example.org/s' || s_suppkey || '";' || {_NL} || '// supplier ' || s_suppkey || {_NL}
-    || '/* block' || {_NL} || ' comment ' || s_suppkey || ' */',
-  'export function add' || s_suppkey || '(a, b);',
-  'export const version' || s_suppkey || ' = ''1.0.' || s_suppkey || ''';' || {_NL}
-    || 'export let status' || s_suppkey || ' = ''' || s_name || ''';',
-  'export add' || s_suppkey || ';', 'export version' || s_suppkey || ';',
-  'export extra' || s_suppkey || ';', 'export helper' || s_suppkey || ';',
-  'export util' || s_suppkey || ';'], {_NL} || {_NL}) AS summary FROM supplier""",
+  'import {{ stat }} from ''node:fs'';',
+  'const tally = require(''./tally-' || s_suppkey || ''');',
+  '/* Depot ' || s_suppkey || ': ' || s_name || {_NL} || '   opened once */' || {_NL}
+    || '//depot/' || s_suppkey || '";' || {_NL} || '// closing time of ' || s_suppkey,
+  'export function weigh' || s_suppkey || '(crate, tare);',
+  'export let label' || s_suppkey || ' = "' || s_name || '";' || {_NL}
+    || 'export var site' || s_suppkey || ' = "ftp://depot/' || s_suppkey || '";',
+  'export weigh' || s_suppkey || ';', 'export heavy' || s_suppkey || ';',
+  'export limit' || s_suppkey || ';', 'export depth' || s_suppkey || ';',
+  'export close' || s_suppkey || ';'], {_NL} || {_NL}) AS summary FROM supplier""",
     "a6_structural_summary_html": _VISIBLE + rf"""
 , shown AS (SELECT page_id, string_agg(text, {_NL} ORDER BY pos) AS tags FROM tags GROUP BY 1)
 SELECT {_PAGE}, 'JSP Blocks:' || {_NL} || '<%= ' || page_id || ' %>' || {_NL} || {_NL}

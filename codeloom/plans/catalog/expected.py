@@ -79,17 +79,16 @@ reach(path, depth, parent, seq, chain) USING KEY (path) AS (
     GROUP BY e.dst))
 """
 
-PER_ROW = 200
+PER_ROW = 20
 
 # links and users of the reached files; users in rows of a bounded number
 CONTEXT = REACH.rstrip() + f""",
 pairs AS (
   SELECT DISTINCT e.dst, e.src, r.seq FROM edges e JOIN reach r ON r.path = e.src),
-sized AS (SELECT *, count(*) OVER (PARTITION BY dst) AS n FROM pairs),
-users AS (
-  SELECT dst AS path, CASE WHEN n > {PER_ROW} THEN seq // {PER_ROW} + 1 ELSE 0 END AS part,
-         string_agg(src, ', ' ORDER BY seq) AS used_by
-  FROM sized GROUP BY 1, 2),
+parts AS (
+  SELECT dst AS path, seq // {PER_ROW} AS part, string_agg(src, ', ' ORDER BY seq) AS used_by
+  FROM pairs GROUP BY 1, 2),
+users AS (SELECT *, part = min(part) OVER (PARTITION BY path) AS is_first FROM parts),
 file_links AS (
   SELECT src AS path, string_agg(dst, ', ' ORDER BY pos) AS links FROM edges GROUP BY 1)
 """

@@ -203,7 +203,7 @@ FROM edges WHERE dst NOT IN (SELECT path FROM files) GROUP BY 1"""
 
 _HEADS = """heads AS (
   SELECT r.path, r.seq, l.links, u.used_by FROM reach r
-  LEFT JOIN file_links l USING (path) LEFT JOIN users u ON u.path = r.path AND u.part = 0)"""
+  LEFT JOIN file_links l USING (path) LEFT JOIN users u ON u.path = r.path AND u.is_first)"""
 
 ORACLES = {
     "g1_link_edges": X.LINKS + "SELECT src, pos::BIGINT AS pos, spec FROM links",
@@ -243,7 +243,7 @@ SELECT h.path, 0::BIGINT AS part, h.links, h.used_by, 'from ' || r.parent AS sum
 FROM heads h JOIN reach r USING (path)
 UNION ALL
 SELECT path, part, NULL, used_by, NULL FROM users
-WHERE part > 0 AND path IN (SELECT path FROM reach)""",
+WHERE NOT is_first AND path IN (SELECT path FROM reach)""",
     "x7_annotate_links": X.LINKS + """
 SELECT f.path, coalesce(string_agg(
   CASE WHEN l.spec = 'fs' THEN 'fs (library)' ELSE l.spec END, ', ' ORDER BY l.pos), '') AS links
@@ -258,7 +258,7 @@ SELECT seq, 0::BIGINT AS kind, 0::BIGINT AS pos,
   || coalesce(' | used by: ' || used_by, '') AS line FROM heads
 UNION ALL
 SELECT r.seq, 0, u.part, '  | used by: ' || u.used_by
-FROM users u JOIN reach r USING (path) WHERE u.part > 0""",
+FROM users u JOIN reach r USING (path) WHERE NOT u.is_first""",
     "a4_chain_map": X.CONTEXT + """
 SELECT seq, 0::BIGINT AS kind, 0::BIGINT AS pos, '- **' || path || '**' AS line FROM reach
 UNION ALL

@@ -92,8 +92,8 @@ def k1_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
         table(spark, sf_dir, "labels"), "doc_id", "left"
     ).select(
         F.concat(F.lit("d"), "doc_id", F.lit(".txt")).alias("path"),
-        F.when(F.col("quality") == 1, F.col("text")).when(F.col("quality") == 0, " ")
-        .alias("body"),
+        F.when(F.col("quality") == 1, F.concat(F.lit("\n\t"), "text", F.lit("\t\n")))
+        .when(F.col("quality") == 0, "\n \t\n").alias("body"),
     )
     target = scratch_path(spark, "notes")
     K.write_notes(rows, target, "2024-01-01-00")
@@ -144,10 +144,11 @@ _SUMMARIES = f"""{X.LINKS}
 SELECT 'src/orders/o' || o_orderkey || '.ts' AS path,
   'import fs from "fs";' || coalesce((SELECT string_agg(chr(10) || 'import {{ p' || p
     || ' }} from "../parts/p' || p || '";', '' ORDER BY p) FROM op WHERE o = o_orderkey), '')
-  || chr(10) || chr(10) || 'interface Order' || o_orderkey || ' {{' || chr(10) || '  id: number;'
-  || chr(10) || chr(10) || 'interface Marker' || o_orderkey || ' {{' || chr(10) || '}}'
-  || chr(10) || chr(10) || 'type Id' || o_orderkey || ' = number;'
-  || chr(10) || chr(10) || 'export function total' || o_orderkey || '(q: number): number {{'
+  || chr(10) || chr(10) || 'type Due' || o_orderkey || ' = Date;'
+  || chr(10) || chr(10) || 'interface Basket' || o_orderkey || ' {{' || chr(10)
+  || '  lines: string[];'
+  || chr(10) || chr(10) || 'interface Sealed' || o_orderkey || ' {{' || chr(10) || '}}'
+  || chr(10) || chr(10) || 'export function tax' || o_orderkey || '(net: number): number {{'
   AS content FROM orders
 UNION ALL
 SELECT 'src/parts/p' || p_partkey || '.ts',
@@ -163,34 +164,34 @@ SELECT 'src/supp/s' || s_suppkey || '.js',
 FROM supplier
 UNION ALL
 SELECT 'js/m' || s_suppkey || '.js', array_to_string([
-  'import fs from ''fs'';',
-  'const path = require(''path'');',
-  '//example.org/s' || s_suppkey || '";' || chr(10) || '// supplier ' || s_suppkey || chr(10)
-    || '/* block' || chr(10) || ' comment ' || s_suppkey || ' */',
-  'export function add' || s_suppkey || '(a, b);',
-  'export const version' || s_suppkey || ' = ''1.0.' || s_suppkey || ''';' || chr(10)
-    || 'export let status' || s_suppkey || ' = ''' || s_name || ''';',
-  'export add' || s_suppkey || ';', 'export version' || s_suppkey || ';',
-  'export extra' || s_suppkey || ';', 'export helper' || s_suppkey || ';',
-  'export util' || s_suppkey || ';'], chr(10) || chr(10)) FROM supplier
+  'import {{ stat }} from ''node:fs'';',
+  'const tally = require(''./tally-' || s_suppkey || ''');',
+  '/* Depot ' || s_suppkey || ': ' || s_name || chr(10) || '   opened once */' || chr(10)
+    || '//depot/' || s_suppkey || '";' || chr(10) || '// closing time of ' || s_suppkey,
+  'export function weigh' || s_suppkey || '(crate, tare);',
+  'export let label' || s_suppkey || ' = "' || s_name || '";' || chr(10)
+    || 'export var site' || s_suppkey || ' = "ftp://depot/' || s_suppkey || '";',
+  'export weigh' || s_suppkey || ';', 'export heavy' || s_suppkey || ';',
+  'export limit' || s_suppkey || ';', 'export depth' || s_suppkey || ';',
+  'export close' || s_suppkey || ';'], chr(10) || chr(10)) FROM supplier
 UNION ALL
 SELECT 'java/P' || p_partkey || '.java', array_to_string([
-  'import java.util.List;' || chr(10) || 'import demo.brand.' || p_type || ';',
-  '@Service' || chr(10) || '@Named("' || p_name || '")',
-  'public class P' || p_partkey || ' {{ {{', '}}',
-  'interface Side' || p_partkey || ' {{ {{', '}}',
-  '    public P' || p_partkey || '(int size) ;',
-  '    @GetMapping("/size")', '    public int getSize' || p_partkey || '() ;',
-  '    @Deprecated', '    public void wide' || p_partkey || '(' || chr(10) || '        int a,'
-    || chr(10) || '        String b' || chr(10) || '    ) ;',
-  '    Part find' || p_partkey || '(int id);'], chr(10) || chr(10)) FROM part
+  'import freight.kind.' || p_type || ';' || chr(10) || 'import java.time.Instant;',
+  'interface Tariff' || p_partkey || ' {{ {{', '}}',
+  '@Tracked' || chr(10) || '@Label("' || p_name || '")',
+  'public class Crate' || p_partkey || ' {{ {{', '}}',
+  '    Money quote' || p_partkey || '(Route route);',
+  '    @Audited', '    public void ship' || p_partkey || '(' || chr(10)
+    || '        Route route,' || chr(10) || '        Instant start' || chr(10) || '    ) ;',
+  '    @Cached(minutes = 5)', '    public long volume' || p_partkey || '() ;',
+  '    public Crate' || p_partkey || '(Route home) ;'], chr(10) || chr(10)) FROM part
 UNION ALL
 SELECT source || '/' || lang || '/d' || doc_id || '.txt', text FROM documents"""
 
 _REPORT = X.CONTEXT.rstrip() + """,
 heads AS (
   SELECT r.path, r.seq, l.links, u.used_by FROM reach r
-  LEFT JOIN file_links l USING (path) LEFT JOIN users u ON u.path = r.path AND u.part = 0),
+  LEFT JOIN file_links l USING (path) LEFT JOIN users u ON u.path = r.path AND u.is_first),
 lost AS (
   SELECT e.dst, min(e.src) AS source, arg_min(e.spec, (e.src, e.pos)) AS spec
   FROM edges e JOIN reach r ON r.path = e.src
@@ -202,7 +203,7 @@ texts AS (
   SELECT '- **' || path || '**' || coalesce(' imports/links to: ' || links, '')
     || coalesce(' | used by: ' || used_by, '') FROM heads
   UNION ALL
-  SELECT '  | used by: ' || used_by FROM users WHERE part > 0 AND path IN (SELECT path FROM reach)
+  SELECT '  | used by: ' || used_by FROM users WHERE NOT is_first AND path IN (SELECT path FROM reach)
   UNION ALL
   SELECT chr(10) || 'The dependency graph shows how files are interconnected, with arrows'
     || ' indicating import or usage relationships. Entry file: **' || path || '**.'
@@ -257,10 +258,10 @@ SELECT path, (length(path) % 5)::INTEGER AS chunk_index,
   coalesce(list_filter(string_split_regex(text, '\\r?\\n'), lambda x: x <> '')
     [length(path) % 5 + 1], '') AS chunk
 FROM d""",
-    "k1_notes": """
+    "k1_notes": r"""
 SELECT '2024-01-01-00' AS run_id, 'd' || d.doc_id || '.txt' AS path,
-  CASE WHEN l.quality = 1 AND trim(d.text) <> '' THEN trim(d.text)
-       ELSE '# No explanation available.' END AS note
+  CASE WHEN l.quality = 1 AND regexp_matches(d.text, '\S')
+       THEN regexp_replace(d.text, '^\s+|\s+$', '', 'g') ELSE '# No explanation available.' END AS note
 FROM documents d LEFT JOIN labels l USING (doc_id)""",
     "k2_reports": _REPORT,
     "k3_review_upsert": """

@@ -52,14 +52,14 @@ def _import_lines(pairs: DataFrame, key: str, target: str, template: str) -> Dat
 
 ORDER_FILE = """import fs from "fs";
 {imports}
-interface Order{n} {
-  id: number;
+export function tax{n}(net: number): number {
+  return net / {n};
 }
-interface Marker{n} {
+type Due{n} = Date;
+interface Basket{n} {
+  lines: string[];
 }
-type Id{n} = number;
-export function total{n}(q: number): number {
-  return q * {n};
+interface Sealed{n} {
 }
 """
 PART_FILE = """{imports}export type Size{n} = {size};
@@ -120,22 +120,20 @@ def ts_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-JS_FILE = """import fs from 'fs';
-const path = require('path');
-const url{n} = "http://example.org/s{n}";
-// supplier {n}
-/* block
- comment {n} */
-export function add{n}(a, b) {}
-export async function skip{n}() {}
-export const version{n} = '1.0.{n}';
-export let status{n} = '{name}';
-function internal{n}() {}
-const hidden{n} = {n};
-module.exports = { add{n}, version{n}: v,
-  extra{n} };
-exports.helper{n} = function() {};
-module.exports.util{n} = () => {};
+JS_FILE = """/* Depot {n}: {name}
+   opened once */
+exports.depth{n} = {n} * 2;
+import { stat } from 'node:fs';
+export let label{n} = "{name}";
+const tally = require('./tally-{n}');
+async function measure{n}(shelf) { return shelf; }
+export function weigh{n}(crate, tare) { return crate - tare; }
+var loose{n} = require('loose');
+module.exports = { weigh{n}, heavy{n}: weigh{n},
+  limit{n} };
+export var site{n} = "ftp://depot/{n}";
+// closing time of {n}
+module.exports.close{n} = shelf => shelf.length;
 """
 
 
@@ -146,40 +144,40 @@ def js_modules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-JAVA_FILE = """package demo;
+JAVA_FILE = """package freight;
 
-import java.util.List;
-import demo.brand.{type};
+import freight.kind.{type};
+import java.time.Instant;
 
-@Service
-@Named("{name}")
-public class P{n} {
-    private int size = {size};
-
-    public P{n}(int size) {
-        this.size = size;
-    }
+interface Tariff{n} {
+    Money quote{n}(Route route);
+}
 
-    @GetMapping("/size")
-    public int getSize{n}() {
-        return compute(size);
+@Tracked
+@Label("{name}")
+public class Crate{n} {
+    class Seal{n} {
+        Instant closed;
     }
 
-    @Deprecated
-    public void wide{n}(
-        int a,
-        String b
+    @Audited
+    public void ship{n}(
+        Route route,
+        Instant start
     ) {
-        // {name}
+        log(route);
     }
 
-    class Inner{n} {
-        int x;
+    private int size = {size};
+
+    @Cached(minutes = 5)
+    public long volume{n}() {
+        return cube(size);
     }
-}
 
-interface Side{n} {
-    Part find{n}(int id);
+    public Crate{n}(Route home) {
+        register(home);
+    }
 }
 """
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from codeloom import fixed_values as V
 from codeloom.functions.paths import stem
-from codeloom.operators.graph import links_per_file
+from codeloom.operators.graph import first_and_further, links_per_file
 
 LINE_COLUMNS = ["seq", "kind", "pos", "line"]
 
@@ -23,7 +23,8 @@ def _bold(path: Column) -> Column:
 
 def _context(order: DataFrame, edges: DataFrame) -> DataFrame:
     none = F.array().cast("array<string>")
-    return order.select("path", "seq").join(links_per_file(edges), "path", "left").withColumn(
+    reached = edges.join(order.select(F.col("path").alias("src")), "src", "left_semi")
+    return order.select("path", "seq").join(links_per_file(reached), "path", "left").withColumn(
         "links", F.coalesce("links", none)
     )
 
@@ -36,15 +37,15 @@ def _line(kind: int, pos: Column, line: Column) -> list[Column]:
 def overview_lines(order: DataFrame, edges: DataFrame, users: DataFrame) -> DataFrame:
     """One line per file with its links and users; further lines for the users of a file
     that is used from everywhere."""
-    first = users.filter("part = 0").select("path", "used_by")
-    rows = _context(order, edges).join(first, "path", "left")
+    first, further = first_and_further(users)
+    rows = _context(order, edges).join(first.select("path", "used_by"), "path", "left")
     links = F.when(
         F.size("links") > 0,
         F.concat(F.lit(" imports/links to: "), F.array_join("links", ", ")),
     ).otherwise("")
     used = F.coalesce(F.concat(F.lit(" | used by: "), "used_by"), F.lit(""))
     lines = rows.select(*_line(0, F.lit(0), F.concat(_bold(F.col("path")), links, used)))
-    more = order.join(users.filter("part > 0"), "path").select(
+    more = order.join(further, "path").select(
         *_line(0, F.col("part"), F.concat(F.lit("  | used by: "), "used_by"))
     )
     return lines.unionByName(more)

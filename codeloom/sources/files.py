@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Sequence
 from urllib.parse import unquote
 
@@ -72,17 +73,25 @@ def list_by_extension(
     return files.filter(has_extension(F.col("path"), extensions, case_sensitive))
 
 
+def _name_pattern(extensions: Sequence[str]) -> str | None:
+    """Glob for names that end in one of ``extensions``, upper or lower case."""
+    if not extensions or not all(re.fullmatch(r"\.\w+", e, re.ASCII) for e in extensions):
+        return None
+    either = ["".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in e)
+              for e in extensions]
+    return "*{" + ",".join(either) + "}"
+
+
 def read_files(
     spark: SparkSession, directory: str, extensions: Sequence[str] = (),
     include: PathFilter = None, exclude: PathFilter = None, empty_files: bool = True,
 ) -> DataFrame:
-    """(path, size, content) with invalid UTF-8 replaced. One extension is also given to
-    the scan as a name pattern, so that other files are not even opened."""
-    glob = f"*{extensions[0]}" if len(extensions) == 1 else None
-    files, base = _scan(spark, directory, empty_files, glob)
+    """(path, size, content) with invalid UTF-8 replaced. Extensions, in any case, are also
+    given to the scan as a name pattern, so that other files are not even opened."""
+    files, base = _scan(spark, directory, empty_files, _name_pattern(extensions))
     return files.filter(
         path_kept(F.col("path"), include, exclude, base)
-        & has_extension(F.col("path"), extensions, case_sensitive=glob is not None)
+        & has_extension(F.col("path"), extensions)
     ).select(
         "path", F.col("length").alias("size"),
         F.make_valid_utf8(F.col("content").cast("string")).alias("content"),

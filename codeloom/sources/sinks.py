@@ -6,13 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeloom import fixed_values as V
-from codeloom.functions.text import history_entry
+from codeloom.functions.text import history_entry, strip
 from codeloom.operators.dedup import keep_best
 from codeloom.session import cut_lineage
 
 
 def _notes(rows: DataFrame, run_id: str) -> DataFrame:
-    body = F.coalesce(F.nullif(F.trim("body"), F.lit("")), F.lit(V.EMPTY_NOTE))
+    body = F.coalesce(F.nullif(strip(F.col("body")), F.lit("")), F.lit(V.EMPTY_NOTE))
     return rows.select(F.lit(run_id).alias("run_id"), "path", body.alias("note"))
 
 

@@ -64,12 +64,14 @@ def leader_links(buckets, sets, threshold):
     linked = set()
     members = {b: set(ids) for b, ids in buckets.items()}
     for ids in members.values():
+        n = 1
         while len(ids) > 1:
-            leader = min(ids)
-            ids.discard(leader)
-            like = {i for i in ids if similarity(sets[i], sets[leader]) >= threshold}
-            linked |= {(i, leader) for i in like}
-            ids -= like
+            leaders = sorted(ids)[:n]
+            like = {(i, k) for k in leaders for i in ids
+                    if i > k and similarity(sets[i], sets[k]) >= threshold}
+            linked |= like
+            ids -= {i for i, _ in like} | set(leaders)
+            n *= 2
     return linked
 
 
@@ -81,7 +83,7 @@ def test_near_links_equal_plain_rounds(spark):
     for row in dedup.bucket_members(dedup.signatures(df, "doc_id", hashes)).collect():
         buckets.setdefault(row["bucket"], []).append(row["id"])
     wanted = leader_links(buckets, {i: runs(t) for i, t in docs}, 0.8)
-    got = dedup.near_duplicate_links(df, "doc_id", hashes, 0.8, split_above=1000).collect()
+    got = dedup.near_duplicate_links(df, "doc_id", hashes, 0.8).collect()
     assert {(r["id"], r["leader"]) for r in got} == wanted
     assert all(r["jaccard"] >= 0.8 for r in got)
 
@@ -102,9 +104,9 @@ def test_hot_bucket_of_unlike_documents_ends_soon(spark, monkeypatch):
     cuts = []
     real = dedup.cut_lineage
     monkeypatch.setattr(dedup, "cut_lineage", lambda d: cuts.append(1) or real(d))
-    got = dedup.near_duplicate_links(df, "doc_id", hashes, 0.85, split_above=4).collect()
-    rounds = len(cuts) // 3  # three checkpoints per round
-    assert rounds < largest / 4, (rounds, largest)
+    got = dedup.near_duplicate_links(df, "doc_id", hashes, 0.85).collect()
+    rounds = len(cuts) // 2  # two checkpoints per round
+    assert rounds < max(largest / 4, 8), (rounds, largest)
     linked = {(r["id"], r["leader"]) for r in got}
     sets = {i: runs(t) for i, t in docs}
     assert all(similarity(sets[a], sets[b]) >= 0.85 for a, b in linked)
@@ -153,3 +155,19 @@ def test_union_needed(spark):
         "n array<string>, f array<string>")
     got = df.select(dedup.union_needed(F.col("n"), F.col("f"))).collect()
     assert [r[0] for r in got] == [["b", "a", "c"], ["x"], ["y"]]
+
+
+def test_boilerplate_loses_no_pair_and_null_texts_stay(spark):
+    """Near copies among texts that share most words are linked however large their bucket."""
+    rng = random.Random(9)
+    common = [f"c{i}" for i in range(40)]
+    docs = []
+    for i in range(500):
+        own = [f"u{i}x{k}" for k in range(20)]
+        docs += [(i, " ".join(common + own)), (5000 + i, " ".join(common + own + ["end"]))]
+    rng.shuffle(docs)
+    df = spark.createDataFrame(docs + [(9000, None), (9001, None)], "doc_id long, text string")
+    rows = {r["id"]: r for r in dedup.near_duplicate_groups(df).collect()}
+    assert len(rows) == 1002 and rows[9000]["kept"] and rows[9001]["kept"]
+    assert all(rows[5000 + i]["group_id"] == rows[i]["group_id"] for i in range(500))
+    assert len({r["group_id"] for r in rows.values()}) == 502

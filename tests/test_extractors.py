@@ -135,33 +135,33 @@ def test_java_unfinished_signature_ends_with_the_file(spark):
     assert texts(spark, java.signatures, "  void a(\n  int b") == ["  void a(\n  int b;"]
 
 
-JS = """import fs from 'fs';
-const path = require('path');
-let other = require('x');
-// one
-/* two
- lines */
-const url = "http://h/x";
-export function add(a, b) {}
-export const v = '1';
-export let s = 'a';
-function own() {}
-module.exports = { add,
-  v: 1, w };
-exports.helper = () => {};
-module.exports.util = 1;
+JS = """exports.low = () => 0;
+/* kept
+ whole */ import late from 'late';
+import { open } from 'node:fs';
+export var page = "x://y/z";
+const own = require('./own');
+var other = require('./other');
+export function scale(width, height) { return width; }
+function inner() {}
+module.exports = { scale, first: 1,
+  last };
+export let mark = 'm';
+// end
+module.exports.high = 9;
 """
 
 
 def test_javascript(spark):
-    assert texts(spark, javascript.requires, JS) == ["const path = require('path');"]
-    assert texts(spark, javascript.comments, JS) == ["// one", "/* two\n lines */", '//h/x";']
-    assert texts(spark, javascript.functions, JS) == ["export function add(a, b);"]
+    assert texts(spark, typescript.imports, JS) == ["import { open } from 'node:fs';"]
+    assert texts(spark, javascript.requires, JS) == ["const own = require('./own');"]
+    assert texts(spark, javascript.comments, JS) == ["/* kept\n whole */", '//y/z";', "// end"]
+    assert texts(spark, javascript.functions, JS) == ["export function scale(width, height);"]
     assert texts(spark, javascript.variables, JS) == [
-        "export const v = '1';", "export let s = 'a';"]
+        'export var page = "x://y/z";', "export let mark = 'm';"]
     assert texts(spark, javascript.object_exports, JS) == [
-        "export add;", "export v;", "export w;"]
-    assert texts(spark, javascript.member_exports, JS) == ["export helper;", "export util;"]
+        "export scale;", "export first;", "export last;"]
+    assert texts(spark, javascript.member_exports, JS) == ["export low;", "export high;"]
 
 
 PAGE = (
@@ -181,6 +181,14 @@ def test_html(spark):
     assert texts(spark, html.styles, PAGE) == ["p{}"]
 
 
+def test_quoted_attributes_may_hold_tag_ends(spark):
+    page = """<div data-x="a><b c">t</div><a title=it's href='x>y'><script src="a>b">i<j</script>"""
+    assert texts(spark, html.tags, page) == ["<div ...>", "<a ...>", "<script ...>"]
+    assert texts(spark, html.scripts, page) == ["i<j"]
+    long = "<p " + "x='>' y " * 20000 + ">"
+    assert texts(spark, html.tags, long) == ["<p ...>"]
+
+
 def test_summaries(spark):
     rows = files(
         spark, ("a.ts", "import x from 'x';\nimport y from 'y';\ntype A = 1;\n"),

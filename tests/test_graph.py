@@ -80,7 +80,10 @@ def test_hot_target_is_split_and_complete(spark):
     order = spark.createDataFrame([(f"f{i}", i) for i in range(300)], "path string, seq long")
     rows = graph.used_by(edges, order, per_row=20).collect()
     assert max(len(r["used_by"].split(", ")) for r in rows if r["path"] == "hot") <= 20
-    assert all(r["part"] > 0 for r in rows if r["path"] == "hot")
+    assert {r["part"] for r in rows if r["path"] == "hot"} == set(range(15))
+    first, further = graph.first_and_further(graph.used_by(edges, order, per_row=20))
+    assert {r["part"] for r in first.collect() if r["path"] == "hot"} == {0}
+    assert first.count() + further.count() == len(rows)
     for target in {d for _, d in pairs}:
         parts = sorted((r["part"], r["used_by"]) for r in rows if r["path"] == target)
         assert ", ".join(p[1] for p in parts).split(", ") == [s for s, d in pairs if d == target]

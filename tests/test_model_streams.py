@@ -96,7 +96,7 @@ def test_usage_searches_of_answers(spark):
     for per_scan in (1, 100):
         hits, invalid = search.usage_hits(inference.searches_of(answers), files, per_scan)
         assert sorted(tuple(r) for r in hits.collect()) == [
-            ("a", "x.ts"), ("c", "x.ts"), ("c", "y.ts"), ("c", "z.js"), ("f", "z.js")]
+            ("a", "x.ts"), ("b", "x.ts"), ("c", "x.ts"), ("c", "y.ts"), ("c", "z.js"), ("f", "z.js")]
         assert [tuple(r) for r in invalid.collect()] == [("d", "(")]
 
 
@@ -157,3 +157,21 @@ def test_work_dedup(spark, tmp_path):
             work, str(tmp_path / name), str(tmp_path / f"c-{name}")).awaitTermination()
         got = spark.read.schema(schema).parquet(str(tmp_path / name)).collect()
         assert sorted((r["path"], r["aspect"]) for r in got) == [("a", "full"), ("a", "summary")]
+
+
+def test_answers_of_wrong_types_are_invalid(spark):
+    good = '{"answer": "a", "neededFiles": ["x"], "error": null, "searchForUsage": null}'
+    rows = [
+        good, '{"answer": "", "neededFiles": []}',
+        '{"answer": "a", "neededFiles": [], "searchForUsage": {"regex": "r", "fileTypes": [".a"]}}',
+        '{"answer": 5, "neededFiles": []}', '{"answer": {"b": 1}, "neededFiles": []}',
+        '{"answer": "a", "neededFiles": [1]}', '{"answer": "a", "neededFiles": ["x", null]}',
+        '{"answer": "a", "neededFiles": [null]}', '{"answer": "a", "neededFiles": "x"}',
+        '{"answer": "a", "neededFiles": [], "error": 3}',
+        '{"answer": "a", "neededFiles": [], "searchForUsage": {"regex": 1, "fileTypes": []}}',
+        '{"answer": "a", "neededFiles": [], "searchForUsage": {"regex": "r"}}', "no json", None,
+    ]
+    df = spark.createDataFrame(list(enumerate(rows)), "i int, response string")
+    got = inference.parse_answers(df).orderBy("i").collect()
+    assert [r["i"] for r in got if r["error"] is None] == [0, 1, 2]
+    assert all(r["answer"] is None and r["needed_files"] == [] for r in got[3:])

@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from codeloom.operators import chunks, search
@@ -63,7 +64,7 @@ def test_fuzzy_batch_equals_single_searches(spark):
         best = sorted((score(n, query), n) for n in names if score(n, query))[:4]
         wanted = [(i, s, n) for i, (s, n) in enumerate(best, 1)]
         assert sorted(got.get(query, [])) == wanted, query
-    assert "" not in got
+    assert sorted(got[""]) == [(i, None, n) for i, n in enumerate(sorted(names)[:4], 1)]
 
 
 def test_fuzzy_batch_limits_ranks_before_the_shuffle(spark):
@@ -79,6 +80,16 @@ def test_regex_search(spark):
     assert [r[0] for r in search.regex_search(df, "foo", "gi", [".ts"]).collect()] == ["a.ts"]
     assert [r[0] for r in search.regex_search(df, "^bar", "m").collect()] == ["a.ts"]
     assert search.regex_search(df, "^bar").count() == 0
+    odd = spark.createDataFrame(
+        [("end", "foo;\n"), ("upper", "\u00c9T\u00c9"), ("space", "a\u00a0b"), ("class", "x[$")],
+        "path string, content string")
+    for pattern, flags, wanted in [
+        ("foo;$", None, []), ("foo;$", "m", ["end"]), ("\u00e9t\u00e9", "i", ["upper"]),
+        (r"a\sb", "", ["space"]), (r"a\Sb", "", []), ("[[][$]", "", ["class"])]:
+        assert [r[0] for r in search.regex_search(odd, pattern, flags).collect()] == wanted
+    for flags in ("x", "ii"):
+        with pytest.raises(ValueError):
+            search.regex_search(odd, "a", flags)
     hits = search.regex_search_all(df, {"f": ("foo", "i"), "b": ("bar", None)}).collect()
     assert sorted(tuple(r) for r in hits) == [("a.ts", "b"), ("a.ts", "f"), ("b.js", "f")]
 

@@ -166,3 +166,20 @@ first
   - Source: a.ts
   - Reason wanted for review: imported as ./gone
 """
+
+
+def test_extensions_of_any_case_and_number(spark, tmp_path):
+    for name in ("a.ts", "B.TS", "c.js", "d.Ts"):
+        (tmp_path / name).write_text(name)
+    for wanted in ([".ts"], [".ts", ".md"], [".TS"]):
+        got = S.read_files(spark, str(tmp_path), wanted).collect()
+        assert sorted(r["path"] for r in got) == ["B.TS", "a.ts", "d.Ts"], wanted
+
+
+def test_notes_lose_all_surrounding_whitespace(spark, tmp_path):
+    rows = spark.createDataFrame(
+        [("a", "\n\n"), ("b", "\tx\n"), ("c", None)], "path string, body string")
+    K.write_notes(rows, str(tmp_path / "n"), "r")
+    got = {r["path"]: r["note"] for r in K.read_notes(spark, str(tmp_path / "n")).collect()}
+    assert got == {"a": "# No explanation available.", "b": "x",
+                   "c": "# No explanation available."}
