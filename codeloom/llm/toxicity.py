@@ -22,6 +22,8 @@ from codeloom.llm.tables import text_of
 
 #: Bounds of the labelled sample: documents with and without the label, characters of each.
 SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_CHARS = 2500, 5000, 16_000
+#: Slices in which the sample is ranked before it is ranked as a whole.
+SAMPLE_SLICES = 64
 BUCKETS, WIDTH, FILTERS, SPANS = 1 << 18, 8, 8, (1, 2, 3)
 EPOCHS, BATCH, RATE = 8, 64, 0.05
 #: Share of the sample for the thresholds; least documents for one of a language's own.
@@ -243,12 +245,19 @@ def _sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, lang
                           ).where(F.col("id").isNotNull() & F.col("y").isin(0, 1))
     known = known.where(~held_out(F.col("id"))).groupBy("id").agg(F.max("y").alias("y"))
     present = docs.select(F.col(id_col).alias("id")).distinct().join(known, "id")
-    place = F.row_number().over(
-        Window.partitionBy("y").orderBy(F.xxhash64(F.col("id").cast("string")), "id"))
     most = F.when(F.col("y") == 1, SAMPLE_TOXIC).otherwise(SAMPLE_CLEAN)
-    chosen = present.withColumn("place", place).where(
-        (F.col("place") <= max(SAMPLE_TOXIC, SAMPLE_CLEAN)) & (F.col("place") <= most)
-    ).select("id", "y")
+
+    def first_of(rows: DataFrame, *keys: str) -> DataFrame:
+        place = F.row_number().over(Window.partitionBy(*keys).orderBy("h", "id"))
+        return rows.withColumn("place", place).where(
+            (F.col("place") <= max(SAMPLE_TOXIC, SAMPLE_CLEAN)) & (F.col("place") <= most))
+
+    # the first of each slice before the first of all, so that the rows that meet in the
+    # last task are bounded whatever the number of tasks before it
+    named = F.col("id").cast("string")
+    hashed = present.select("id", "y", F.xxhash64(named).alias("h"),
+                            F.pmod(F.xxhash64(named, F.lit("slice")), SAMPLE_SLICES).alias("s"))
+    chosen = first_of(first_of(hashed, "y", "s"), "y").select("id", "y")
     texts = docs.select(F.col(id_col).alias("id"),
                         F.substring(text_of(text_col), 1, SAMPLE_CHARS).alias("text"),
                         F.col(lang_col).cast("string").alias("lang"))
