@@ -137,17 +137,18 @@ def _sum(columns: list[Column]) -> Column:
 
 
 def _distance(deviations: list[Column]) -> Column:
-    """Squared Mahalanobis distance from Cholesky factors l_ij, solved forward; a whole
-    number, a hundred to one, so that percentiles stay exact and bounded."""
-    y: list[Column] = []
-    for i, d in enumerate(deviations):
-        known = [F.col(f"l_{i}_{j}") * y[j] for j in range(i)]
-        y.append((d - _sum(known) if known else d) / F.col(f"l_{i}_{i}"))
-    return F.round(F.least(_sum([v * v for v in y]), F.lit(10000.0)) * 100).cast("long")
+    """Squared Mahalanobis distance: each row k_ij of the inverse Cholesky factor gives one
+    independent deviation; a whole number, a hundred to one, so that percentiles stay exact
+    and bounded."""
+    own = [_sum([F.col(f"k_{i}_{j}") * deviations[j] for j in range(i + 1)])
+           for i in range(len(deviations))]
+    return F.round(F.least(_sum([F.pow(y, F.lit(2)) for y in own]), F.lit(10000.0)) * 100
+                   ).cast("long")
 
 
 def _factors(moments: DataFrame) -> DataFrame:
-    """Centre m_i and Cholesky factors l_ij of the covariance with floors on its diagonal."""
+    """Centre m_i and inverse Cholesky factor k_ij of the covariance with floors on its
+    diagonal. Groups are few; their rows carry the work, so that rows of texts need not."""
     p = len(_NAMES)
     n = F.col("n").cast("double")
     out = moments.withColumns({f"m_{i}": F.col(f"s_{i}") / n for i in range(p)})
@@ -161,8 +162,13 @@ def _factors(moments: DataFrame) -> DataFrame:
             out = out.withColumn(
                 f"l_{i}_{j}", F.sqrt(F.greatest(part, F.lit(1.0))) if i == j
                 else part / F.col(f"l_{j}_{j}"))
+    for i in range(p):
+        before = {f"k_{i}_{j}": -_sum([
+            F.col(f"l_{i}_{m}") * F.col(f"k_{m}_{j}") for m in range(j, i)
+        ]) / F.col(f"l_{i}_{i}") for j in range(i)}
+        out = out.withColumns(before | {f"k_{i}_{i}": 1 / F.col(f"l_{i}_{i}")})
     return out.select(*_GROUP, *[f"m_{i}" for i in range(p)],
-                      *[f"l_{i}_{j}" for i in range(p) for j in range(i + 1)])
+                      *[f"k_{i}_{j}" for i in range(p) for j in range(i + 1)])
 
 
 def _moments(rows: DataFrame) -> DataFrame:
@@ -175,8 +181,8 @@ def _moments(rows: DataFrame) -> DataFrame:
 
 def estimates(vectors: DataFrame) -> DataFrame:
     """Minimum-covariance-determinant estimate per group with at least LEAST vectors:
-    level, g1, g2, centre, factors, and the median distance of all its vectors."""
-    rows = _levels(vectors)
+    level, g1, g2, centre, inverse factors, and the median distance of all its vectors."""
+    rows = stored(_levels(vectors), "mcd-vectors")
     p = len(_NAMES)
     medians = rows.groupBy(*_GROUP).agg(
         F.count(F.lit(1)).alias("n"),
@@ -187,8 +193,8 @@ def estimates(vectors: DataFrame) -> DataFrame:
           for i, x in enumerate(_NAMES)])
     start = _with(medians, spread).select(
         *_GROUP, *[f"m_{i}" for i in range(p)],
-        *[(F.greatest(1.4826 * F.col(f"d_{i}"), F.lit(FLOORS[i] * UNIT)) if i == j
-           else F.lit(0.0)).alias(f"l_{i}_{j}") for i in range(p) for j in range(i + 1)])
+        *[(1 / F.greatest(1.4826 * F.col(f"d_{i}"), F.lit(FLOORS[i] * UNIT)) if i == j
+           else F.lit(0.0)).alias(f"k_{i}_{j}") for i in range(p) for j in range(i + 1)])
     params = stored(start, "mcd-start")
     for _ in range(STEPS):
         far = _measured(rows, params)
