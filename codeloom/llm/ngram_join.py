@@ -224,7 +224,9 @@ def _central_pairs(records: DataFrame) -> DataFrame:
 
 def _prefix_pairs(records: DataFrame, labels: DataFrame) -> DataFrame:
     """Candidate pairs between groups: a common shingle in both prefixes, where lengths and
-    places allow a link. Members of a group meet as one cell per shingle."""
+    places allow a link. A set and one at least as large share six sevenths of the smaller
+    one or more, so that the smaller one's prefix is shorter (``early``); of two equally large
+    sets both are."""
     named = records.join(labels.withColumnRenamed("id", "key"), "key", "left").select(
         "key", "n", "shared", "prefix", F.coalesce("label", "key").alias("label"))
     places = named.select(
@@ -232,17 +234,18 @@ def _prefix_pairs(records: DataFrame, labels: DataFrame) -> DataFrame:
     several = places.groupBy("shingle").agg(
         F.min("label").alias("low"), F.max("label").alias("high")
     ).where(F.col("low") != F.col("high")).select("shingle")
-    open_ = places.join(several, "shingle", "left_semi")
-    a = open_.select("shingle", *[F.col(c).alias(f"{c}_a") for c in (
-        "key", "n", "shared", "label", "place")])
-    b = open_.select("shingle", *[F.col(c).alias(f"{c}_b") for c in (
-        "key", "n", "shared", "label", "place")])
+    open_ = places.join(several, "shingle", "left_semi").withColumn("early", F.expr(
+        f"place <= shared - ceil({2 * PERCENT} * n / {100 + PERCENT}D)"))
+    columns = ("key", "n", "shared", "label", "place", "early")
+    a = open_.where("early").select("shingle", *[F.col(c).alias(f"{c}_a") for c in columns])
+    b = open_.select("shingle", *[F.col(c).alias(f"{c}_b") for c in columns])
     rest = F.least(F.col("shared_a") - F.col("place_a"), F.col("shared_b") - F.col("place_b"))
     most = F.least("place_a", "place_b") + rest
+    smaller = (F.col("n_a") < F.col("n_b")) | (
+        (F.col("n_a") == F.col("n_b")) & F.col("early_b") & (F.col("key_a") < F.col("key_b")))
     near = (
-        (F.col("label_a") < F.col("label_b"))
+        smaller & (F.col("label_a") != F.col("label_b"))
         & (100 * F.col("n_a") >= PERCENT * F.col("n_b"))
-        & (100 * F.col("n_b") >= PERCENT * F.col("n_a"))
         & _linked(most, F.col("n_a"), F.col("n_b")))
     met = a.join(b, "shingle").where(near)
     return met.select(F.least("key_a", "key_b").alias("a"),
