@@ -171,6 +171,23 @@ def test_lines(docs):
     assert got == want
 
 
+def test_lines_at_three_quarters(spark):
+    """Against all pairs at 75 percent: one to three replaced words of lines of 5 to 40."""
+    data = []
+    for n in range(5, 41):
+        for replaced in range(4):
+            words = [f"l{n}w{k}" for k in range(n)]
+            words[:replaced] = [f"new{n}x{replaced}y{k}" for k in range(replaced)]
+            data.append((len(data), " ".join(words)))
+    earlier, want = [], {}
+    for i, t in data:
+        s = frozenset(t.split())
+        want[i] = any(100 * len(s & e) >= 75 * len(s | e) for e in earlier)
+        earlier.append(s)
+    got = lines.line_decisions(spark.createDataFrame(data, "doc_id long, text string"))
+    assert {r.doc_id: r.n_removed == 1 for r in got.collect()} == want
+
+
 def test_lines_with_further_searches(spark, monkeypatch):
     monkeypatch.setattr(lines, "TRIES", 1)
     monkeypatch.setattr(lines, "SURE", 10_000)
