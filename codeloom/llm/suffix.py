@@ -239,8 +239,9 @@ class RunIndex:
     """Run-compressed index of contexts, each ended by the symbol 0.
 
     ``samples`` are the text positions at run ends: those whose neighbour above in the order
-    of suffixes is not the one that follows the neighbour of the position before. Only they
-    keep their neighbour and the length of the match with it; inside a run both go on by one.
+    of suffixes is not the one that follows the neighbour of the position before, or where that
+    position matches its neighbour in no symbol. Only they keep their neighbour and the length
+    of the match with it; inside a run both go on by one.
     """
 
     def __init__(self, text: np.ndarray):
@@ -249,7 +250,8 @@ class RunIndex:
         above = np.full(n, -1, np.int64)
         above[self.order[1:]] = self.order[:-1]
         ends = np.ones(n, bool)
-        ends[1:] = (above[1:] != above[:-1] + 1) | (above[:-1] < 0) | (text[:-1] == 0)
+        ends[1:] = ((above[1:] != above[:-1] + 1) | (above[:-1] < 0) | (text[:-1] == 0)
+                    | (text[:-1] != text[above[:-1]]))
         self.samples = np.flatnonzero(ends)
         self.match = self._compared(text, self.samples, above[self.samples])
 

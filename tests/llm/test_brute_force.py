@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 from collections import Counter
 
 import numpy as np
@@ -241,6 +242,33 @@ def test_run_index_matches():
     assert len(index.samples) < len(text) / 2
 
 
+def _after_three_symbols():
+    """Lists of A+S, B+S and C+S in all row orders, with own symbols and an own S each."""
+    chance, out = np.random.default_rng(7), []
+    for k, order in enumerate(itertools.permutations(range(3))):
+        tail = "".join(chance.choice(list("abcdefgh"), 79))
+        out.append(["ABCDEFGHIJKLMNOPQR"[3 * k + x] + tail for x in order])
+    return out
+
+
+def test_run_index_after_first_suffix_of_a_symbol():
+    """Neighbours go on together after a first symbol that differs."""
+    for contexts in _after_three_symbols():
+        text = np.concatenate([np.append(np.frombuffer(c.encode(), np.uint8).astype(np.int16) + 1,
+                                         0) for c in contexts]).astype(np.int16)
+        index = suffix.RunIndex(text)
+        above = np.full(len(text), -1)
+        above[index.order[1:]] = index.order[:-1]
+        want = index._compared(text, np.arange(len(text)), above)
+        assert index.matching_statistics(len(text)).tolist() == want.tolist()
+
+
+def test_repeated_passages_after_different_symbols(spark):
+    texts = [c for contexts in _after_three_symbols() for c in contexts]
+    test_repeated_passages(spark.createDataFrame(
+        list(enumerate(texts)), "doc_id long, text string"))
+
+
 def test_edit_counts(docs):
     c = token_counts.counter(*token_counts.default_ranks())
     want = Counter()
