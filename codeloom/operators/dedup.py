@@ -139,7 +139,8 @@ def near_duplicate_links(
     other too), until every bucket is used up. One round is enough for copies of
     one text, however many. Unlike documents in one bucket cost as many comparisons as they
     are unlike, but the rounds grow only with the logarithm of the largest bucket. The rule
-    does not depend on sizes, and no pair that a round should compare is left out.
+    does not depend on sizes. A document that is like a leader leaves the bucket, so links to
+    it from documents unlike the leader may be missing; ``missing_links`` finds these.
     """
     signed = cut_lineage(signatures(docs, id_col, hashes))
     members = bucket_members(signed)
@@ -178,6 +179,59 @@ def near_duplicate_links(
     return done.distinct()
 
 
+def missing_links(
+    docs: DataFrame, id_col: str, hashes: Column, threshold: float, labels: DataFrame
+) -> DataFrame:
+    """(id, leader, jaccard): all links between documents of different labels (id, label),
+    by an exact prefix join.
+
+    Hashes of a set are ordered rarest first. Two sets that are alike share a hash in their
+    prefixes of that order, where a prefix leaves out one less than the fewest hashes that
+    the set shares with any set like it; the smaller set's prefix is shorter still. Hashes
+    that one set alone has lead the order and are not shuffled further.
+    """
+    sets = cut_lineage(docs.select(F.col(id_col).alias("id"), hashes.alias("hashes")))
+    cells = sets.select("id", F.size("hashes").alias("n"), F.explode("hashes").alias("hash"))
+    often = cells.groupBy("hash").agg(F.count("*").alias("often")).filter("often > 1")
+    ordered = cells.join(often, "hash").groupBy("id", "n").agg(
+        F.array_sort(F.collect_list(F.struct("often", "hash"))).alias("cells"))
+
+    def prefix(share: float) -> Column:
+        # a little longer where rounding could make it too short
+        return F.size("cells") - F.ceil(share * F.col("n") - 1e-6) + 1
+
+    named = ordered.join(labels, "id", "left").select(
+        "id", "n", F.size("cells").alias("shared"), F.coalesce("label", "id").alias("label"),
+        prefix(2 * threshold / (1 + threshold)).alias("early"),
+        F.posexplode(F.slice("cells", F.lit(1), F.greatest(prefix(threshold), F.lit(0)).cast(
+            "int"))).alias("place", "cell"),
+    )
+    places = cut_lineage(named.select(
+        "id", "n", "shared", "label", "place", (F.col("place") < F.col("early")).alias("early"),
+        F.col("cell.hash").alias("hash")))
+    several = places.groupBy("hash").agg(
+        F.min("label").alias("low"), F.max("label").alias("high")
+    ).filter("low <> high").select("hash")
+    open_ = places.join(several, "hash", "left_semi")
+    columns = ("id", "n", "shared", "label", "place", "early")
+    a, b = (open_.select("hash", *[F.col(c).alias(f"{c}_{side}") for c in columns])
+            for side in "ab")
+    most = F.least("place_a", "place_b") + F.least(
+        F.col("shared_a") - F.col("place_a"), F.col("shared_b") - F.col("place_b"))
+    smaller = F.expr("n_a < n_b or n_a = n_b and early_b and id_a < id_b")
+    pairs = a.filter("early_a").join(b, "hash").filter(
+        smaller & F.expr("label_a <> label_b")
+        & (F.col("n_a") >= threshold * F.col("n_b") - 1e-6)
+        & ((1 + threshold) * most >= threshold * (F.col("n_a") + F.col("n_b")) - 1e-6)
+    ).select(F.greatest("id_a", "id_b").alias("id"), F.least("id_a", "id_b").alias("leader"))
+    return (
+        pairs.distinct().join(sets, "id")
+        .join(sets.select(F.col("id").alias("leader"), F.col("hashes").alias("other")), "leader")
+        .select("id", "leader", jaccard(F.col("hashes"), F.col("other")).alias("jaccard"))
+        .filter(F.col("jaccard") >= threshold)
+    )
+
+
 def compare_with_first(
     docs: DataFrame, id_col: str, text: str, block: Column, words: int = 3
 ) -> DataFrame:
@@ -234,7 +288,9 @@ def near_duplicate_groups(
     """(id, group_id, kept): groups of copies and near copies; one document is kept each.
 
     Equal texts are folded first, so a text copied any number of times enters the buckets
-    once. Kept is the longest text, then the largest id.
+    once. Links to leaders join the bulk of each group; all links between what they leave
+    apart follow, so the groups are those of all pairs. Kept is the longest text, then the
+    largest id.
     """
     copies = cut_lineage(_copies(docs, id_col, text))
     first = copies.groupBy("copy_key").agg(F.min("id").alias("first_id"))
@@ -242,9 +298,10 @@ def near_duplicate_groups(
     repeats = firsts.filter("id <> first_id").select(F.col("id").alias(id_col))
     distinct_docs = docs.select(id_col, text).where(F.col(text).isNotNull()).join(
         repeats, id_col, "left_anti")
-    links = near_duplicate_links(
-        distinct_docs, id_col, shingles(F.col(text), words), threshold)
-    labels = connected_labels(links)
+    hashes = shingles(F.col(text), words)
+    links = cut_lineage(near_duplicate_links(distinct_docs, id_col, hashes, threshold))
+    missing = missing_links(distinct_docs, id_col, hashes, threshold, connected_labels(links))
+    labels = connected_labels(links.unionByName(missing))
     grouped = firsts.join(
         labels.select(F.col("id").alias("first_id"), "label"), "first_id", "left"
     ).select("id", "chars", F.coalesce("label", "first_id").alias("group_id"))

@@ -171,3 +171,38 @@ def test_boilerplate_loses_no_pair_and_null_texts_stay(spark):
     assert len(rows) == 1002 and rows[9000]["kept"] and rows[9001]["kept"]
     assert all(rows[5000 + i]["group_id"] == rows[i]["group_id"] for i in range(500))
     assert len({r["group_id"] for r in rows.values()}) == 502
+
+
+def all_pair_groups(docs, threshold):
+    """Smallest id of each component of all pairs."""
+    sets = {i: runs(t) for i, t in docs}
+    group = {i: i for i in sets}
+    for i in sets:
+        for j in sets:
+            if i < j and group[i] != group[j] and similarity(sets[i], sets[j]) >= threshold:
+                old, new = max(group[i], group[j]), min(group[i], group[j])
+                group = {k: new if g == old else g for k, g in group.items()}
+    return group
+
+
+def test_near_groups_equal_those_of_all_pairs(spark):
+    """A text between many leaders and one that is like it alone, and random near copies."""
+    rng = random.Random(21)
+    docs = []
+    for f in range(4):
+        words = [f"f{f}w{k}" for k in range(60)]
+
+        def variant(name, at):
+            return " ".join(f"{name}x{k}" if k in at else w for k, w in enumerate(words))
+        docs += [(1000 * f + i, variant(f"a{f}{i}", (3 + i, 33 + i % 20))) for i in range(24)]
+        docs += [(1000 * f + 100, " ".join(words)), (1000 * f + 200, variant(f"b{f}", (30, 56)))]
+    docs += [(9000 + i, t) for i, t in corpus()]
+    for size in range(1, 30):
+        words = [f"s{size}w{k}" for k in range(size)]
+        docs += [(20000 + 10 * size + k, " ".join(words + ["end"] * k)) for k in range(3)]
+    rng.shuffle(docs)
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    for threshold in (0.8, 0.6):
+        got = {r["id"]: r["group_id"]
+               for r in dedup.near_duplicate_groups(df, threshold=threshold).collect()}
+        assert got == all_pair_groups(docs, threshold)
