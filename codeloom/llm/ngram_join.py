@@ -1,7 +1,7 @@
 """Near duplicates by a join on word n-grams with vertical partitioning.
 
 A document is the set of its five-word shingles; two documents link at a Jaccard similarity of
-0.75 or more. The order of all shingles is cut into fragments:
+0.75 or more. Fragments are classes of shingle hashes, not stretches of the order of shingles:
 
 1. Every text sends its shingles to their fragments, packed. A fragment counts in how many
    different sets each shingle is. Shingles of one set only cannot be shared; a set with too
@@ -11,8 +11,8 @@ A document is the set of its five-word shingles; two documents link at a Jaccard
    of a family of copies without forming its pairs.
 3. Sets of different groups are candidates if they share a shingle in the prefix of that
    order in which any two linked sets must meet, and if lengths and places allow a link.
-4. The overlap of candidates is counted per vertical fragment of the order and summed per
-   pair. Links are joined to components.
+4. The overlap of candidates is counted per vertical fragment (a class of hashes) and summed
+   per pair; fragments verify candidates and find none. Links are joined to components.
 
 Equal sets are one class throughout, so copies are never paired.
 """
