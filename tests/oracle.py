@@ -32,6 +32,8 @@ def _plain(value):
         return round(value, 6)
     if isinstance(value, datetime.datetime):
         return value.replace(tzinfo=None)
+    if isinstance(value, (list, tuple)):
+        return tuple(_plain(v) for v in value)
     return value
 
 
