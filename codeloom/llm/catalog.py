@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from codeloom.llm import bpe, content_sort, language, lines, mixing, ngram_join, quality, suffix, token_counts, toxicity
+from codeloom.llm import (
+    bpe, content_sort, language, lines, mixing, ngram_join, prefix_trie, quality, suffix,
+    token_counts, toxicity,
+)
 from codeloom.plans.corpora import table
 
 
@@ -54,6 +57,10 @@ def op5_line_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.line_decisions(_documents(spark, sf_dir))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     "op5_line_join": op5_line_join,
     "op7_edit_counts": op7_edit_counts,
@@ -65,5 +72,9 @@ QUERIES = {
     "op2_bpe_documents": op2_bpe_documents,
     "op8_content_sort": op8_content_sort,
     "op9_pareto_mix": op9_pareto_mix,
+    "op11_prefix_trie": op11_prefix_trie,
+}
+ORACLES = {
+    "op8_content_sort": content_sort.SQL, "op9_pareto_mix": mixing.SQL,
+    "op11_prefix_trie": prefix_trie.SQL,
 }
-ORACLES = {"op8_content_sort": content_sort.SQL, "op9_pareto_mix": mixing.SQL}
