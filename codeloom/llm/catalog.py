@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from codeloom.llm import (
     bpe, content_sort, language, lines, mixing, ngram_join, prefix_trie, quality, suffix,
-    token_counts, toxicity,
+    token_counts, toxicity, value_codes,
 )
 from codeloom.plans.corpora import table
 
@@ -61,6 +61,10 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
 
 
+def op12_value_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return value_codes.compressed(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op5_line_join": op5_line_join,
     "op7_edit_counts": op7_edit_counts,
@@ -73,8 +77,9 @@ QUERIES = {
     "op8_content_sort": op8_content_sort,
     "op9_pareto_mix": op9_pareto_mix,
     "op11_prefix_trie": op11_prefix_trie,
+    "op12_value_codes": op12_value_codes,
 }
 ORACLES = {
     "op8_content_sort": content_sort.SQL, "op9_pareto_mix": mixing.SQL,
-    "op11_prefix_trie": prefix_trie.SQL,
+    "op11_prefix_trie": prefix_trie.SQL, "op12_value_codes": value_codes.SQL,
 }
