@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from codeloom.llm import (
-    bpe, content_sort, language, lines, mixing, ngram_join, prefix_trie, quality, suffix,
-    token_counts, toxicity, value_codes,
+    bpe, content_sort, language, lines, mixing, ngram_join, posting_lists, prefix_trie,
+    quality, suffix, token_counts, toxicity, value_codes,
 )
 from codeloom.plans.corpora import table
 
@@ -65,6 +65,10 @@ def op12_value_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return value_codes.compressed(table(spark, sf_dir, "embeddings"))
 
 
+def op13_posting_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return posting_lists.nearest(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op5_line_join": op5_line_join,
     "op7_edit_counts": op7_edit_counts,
@@ -78,6 +82,7 @@ QUERIES = {
     "op9_pareto_mix": op9_pareto_mix,
     "op11_prefix_trie": op11_prefix_trie,
     "op12_value_codes": op12_value_codes,
+    "op13_posting_lists": op13_posting_lists,
 }
 ORACLES = {
     "op8_content_sort": content_sort.SQL, "op9_pareto_mix": mixing.SQL,
