@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from codeloom.functions.text import let
-from codeloom.session import cut_lineage
+from codeloom.session import cut_lineage, stored
 
 SIGNATURES = 100
 ROWS_PER_BAND = 5
@@ -232,6 +235,178 @@ def missing_links(
     )
 
 
+#: Hashes of a block of sets, which travel in one row per fragment.
+BLOCK_HASHES = 1 << 20
+_FRAGMENTS_PER_PARTITION = 2
+
+
+def _least(n: int, threshold: float) -> int:
+    """Fewest hashes that a set of ``n`` shares with a set like it."""
+    return math.ceil(threshold * n - 1e-6)
+
+
+def _sent(n: int, threshold: float, half: bool) -> tuple[int, int]:
+    """How many of a set's hashes, smallest first, are sent, and how many of these at least
+    are also sent by each set like it.
+
+    The first q hashes that two sets share are among the n - least + q smallest of either.
+    """
+    least = _least(n, threshold)
+    if not half:
+        return n, least
+    # the smallest set like it has ``least`` hashes and sends half of what that one shares
+    return n - least + max(1, least // 2), max(1, _least(least, threshold) // 2)
+
+
+def shared_enough(
+    sets: DataFrame, threshold: float, labels: bool = False, half: bool = True
+) -> DataFrame:
+    """(id): the sets (id, hashes) that may be like another one, by counting alone.
+
+    A set like another one shares ``threshold`` of its hashes with it. So each set's hashes
+    are looked up in all other sets (with ``labels``: in sets of another ``label``), and sets
+    with fewer hits are left out; all that stay are worth a comparison, none that is like
+    another is lost. ``half`` looks up the smaller half of the hashes.
+
+    No hash is ever a row. A block of sets sends one row per fragment of the hash space, with
+    four bytes per hash and two for its set; the fragment, one at a time in memory, answers
+    with a count per set of the block, and the blocks add up their counts. Rows follow blocks
+    times fragments, whatever the sets share. Blocks are written before they are sent, so a
+    step that is run again meets the same blocks.
+    """
+    id_type = sets.schema["id"].dataType
+    partitions = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    fragments = _FRAGMENTS_PER_PARTITION * partitions
+    out = T.StructType([
+        T.StructField("fragment", T.IntegerType()), T.StructField("block", T.LongType()),
+        T.StructField("hashes", T.BinaryType()), T.StructField("places", T.BinaryType()),
+        T.StructField("labels", T.BinaryType()), T.StructField("ids", T.ArrayType(id_type)),
+    ])
+
+    def packed(ids: pa.Array, values: np.ndarray, sizes: np.ndarray, label: np.ndarray | None,
+               block: int) -> pa.RecordBatch:
+        place = np.repeat(np.arange(len(sizes), dtype=np.uint16), sizes)
+        limits = np.array([_sent(int(n), threshold, half) for n in sizes], np.int64)
+        order = np.lexsort((values, place))
+        values = values[order]
+        rank = np.arange(len(values)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        kept = rank < np.repeat(limits[:, 0], sizes)
+        values, place = values[kept], place[kept]
+        fragment = ((values >> np.uint64(32)) % np.uint64(fragments)).astype(np.int32)
+        order = np.argsort(fragment, kind="stable")
+        fragment, values, place = fragment[order], values[order].astype(np.uint32), place[order]
+        present, first = np.unique(fragment, return_index=True)
+        ends = [*first[1:], len(fragment)]
+        cuts = list(zip(first, ends))
+        n = len(cuts)
+        # the block's own row passes by the fragments and waits for the counts
+        return pa.RecordBatch.from_arrays([
+            pa.array([*present.tolist(), -1 - abs(block) % fragments], pa.int32()),
+            pa.array([block] * (n + 1), pa.int64()),
+            pa.array([*(values[a:b].tobytes() for a, b in cuts),
+                      limits[:, 1].astype(np.int32).tobytes()], pa.binary()),
+            pa.array([*(place[a:b].tobytes() for a, b in cuts), None], pa.binary()),
+            pa.array([None if label is None else label[place[a:b]].tobytes()
+                      for a, b in cuts] + [None], pa.binary()),
+            pa.array([None] * n + [ids.to_pylist()], pa.list_(ids.type)),
+        ], out.fieldNames())
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = TaskContext.get().partitionId() << 32
+        for batch in batches:
+            ids, column = batch.column(0), batch.column(1)
+            sizes = np.diff(column.offsets.to_numpy()).astype(np.int64)
+            values = column.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+            label = batch.column(2).to_numpy(zero_copy_only=False) if labels else None
+            starts, first = np.concatenate([[0], np.cumsum(sizes)]), 0
+            while first < len(sizes):
+                end = int(np.searchsorted(starts, starts[first] + BLOCK_HASHES, "right")) - 1
+                end = min(max(end, first + 1), first + 65_000, len(sizes))
+                yield packed(ids.slice(first, end - first), values[starts[first]:starts[end]],
+                             sizes[first:end], None if label is None else label[first:end], block)
+                first, block = end, block + 1
+
+    def hits(rows: list[dict]) -> Iterator[tuple[int, bytes, bytes]]:
+        hashes = np.concatenate([np.frombuffer(r["hashes"], np.uint32) for r in rows])
+        if labels:
+            order = np.argsort(hashes, kind="stable")
+            own = np.concatenate([np.frombuffer(r["labels"], np.int64) for r in rows])[order]
+            first = np.flatnonzero(np.r_[True, np.diff(hashes[order].astype(np.int64)) != 0])
+            several = np.minimum.reduceat(own, first) != np.maximum.reduceat(own, first)
+            shared = np.empty(len(hashes), bool)
+            shared[order] = np.repeat(several, np.diff(np.r_[first, len(hashes)]))
+        else:
+            _, which, count = np.unique(hashes, return_inverse=True, return_counts=True)
+            shared = (count > 1)[which]
+        at = 0
+        for r in rows:
+            places = np.frombuffer(r["places"], np.uint16)
+            found, n = np.unique(places[shared[at:at + len(places)]], return_counts=True)
+            at += len(places)
+            if len(found):
+                yield r["block"], found.tobytes(), n.astype(np.int32).tobytes()
+
+    def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fragment, rows = None, []
+
+        def answers(found: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays(
+                [pa.array([f[i] for f in found], t) for i, t in
+                 enumerate((pa.int64(), pa.binary(), pa.binary()))]
+                + [pa.array([f[3] if len(f) > 3 else None for f in found], pa.list_(id_arrow))],
+                ["block", "places", "counts", "ids"])
+
+        id_arrow = None
+        for batch in batches:
+            id_arrow = batch.schema.field("ids").type.value_type
+            done: list[tuple] = []
+            for row in batch.to_pylist():
+                if row["fragment"] < 0:
+                    done.append((row["block"], None, row["hashes"], row["ids"]))
+                    continue
+                if row["fragment"] != fragment:
+                    if rows:
+                        done += hits(rows)
+                    fragment, rows = row["fragment"], []
+                rows.append(row)
+            yield answers(done)
+        if rows:
+            yield answers(list(hits(rows)))
+
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, own, total = None, None, None
+
+        def passed() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays(
+                [pa.array([i for i, ok in zip(own[1], total[:len(own[1])] >= own[0]) if ok],
+                          id_arrow)], ["id"])
+
+        for batch in batches:
+            id_arrow = batch.schema.field("ids").type.value_type
+            for row in batch.to_pylist():
+                if row["block"] != block:
+                    if own is not None:
+                        yield passed()
+                    block, own, total = row["block"], None, np.zeros(1 << 16, np.int64)
+                if row["ids"] is not None:
+                    own = np.frombuffer(row["counts"], np.int32), row["ids"]
+                else:
+                    total[np.frombuffer(row["places"], np.uint16)] += np.frombuffer(
+                        row["counts"], np.int32)
+        if own is not None:
+            yield passed()
+
+    answer = T.StructType([
+        T.StructField("block", T.LongType()), T.StructField("places", T.BinaryType()),
+        T.StructField("counts", T.BinaryType()), T.StructField("ids", T.ArrayType(id_type))])
+    columns = ["id", "hashes", *(["label"] if labels else [])]
+    blocks = stored(sets.select(*columns).mapInArrow(send, out), "set-blocks")
+    counted = blocks.repartition(partitions, "fragment").sortWithinPartitions(
+        "fragment").mapInArrow(look_up, answer)
+    return counted.repartition(partitions, "block").sortWithinPartitions("block").mapInArrow(
+        add_up, T.StructType([T.StructField("id", id_type)]))
+
+
 def compare_with_first(
     docs: DataFrame, id_col: str, text: str, block: Column, words: int = 3
 ) -> DataFrame:
@@ -287,10 +462,11 @@ def near_duplicate_groups(
 ) -> DataFrame:
     """(id, group_id, kept): groups of copies and near copies; one document is kept each.
 
-    Equal texts are folded first, so a text copied any number of times enters the buckets
-    once. Links to leaders join the bulk of each group; all links between what they leave
-    apart follow, so the groups are those of all pairs. Kept is the longest text, then the
-    largest id.
+    Equal texts are folded first, so a text copied any number of times counts once. Texts that
+    do not share enough with others, by far the most, are left out by counting. Links to
+    leaders join the bulk of each group; texts that also share enough with other groups, few,
+    are joined exactly, so the groups are those of all pairs. Kept is the longest text, then
+    the largest id.
     """
     copies = cut_lineage(_copies(docs, id_col, text))
     first = copies.groupBy("copy_key").agg(F.min("id").alias("first_id"))
@@ -298,9 +474,20 @@ def near_duplicate_groups(
     repeats = firsts.filter("id <> first_id").select(F.col("id").alias(id_col))
     distinct_docs = docs.select(id_col, text).where(F.col(text).isNotNull()).join(
         repeats, id_col, "left_anti")
-    hashes = shingles(F.col(text), words)
-    links = cut_lineage(near_duplicate_links(distinct_docs, id_col, hashes, threshold))
-    missing = missing_links(distinct_docs, id_col, hashes, threshold, connected_labels(links))
+    hashed = distinct_docs.select(
+        F.col(id_col).alias("id"), shingles(F.col(text), words).alias("hashes"))
+    sets = stored(
+        hashed.join(cut_lineage(shared_enough(hashed, threshold)), "id", "left_semi"), "near-sets")
+    hashes = F.col("hashes")
+    links = cut_lineage(near_duplicate_links(sets, "id", hashes, threshold))
+    labels = connected_labels(links)
+    # numbers for labels of any type: two labels with one number would lose a link with a
+    # chance of 2^-64 per pair
+    numbered = sets.join(labels, "id", "left").select(
+        "id", "hashes", F.xxhash64(F.coalesce("label", "id")).alias("label"))
+    open_ = cut_lineage(shared_enough(numbered, threshold, labels=True, half=False))
+    missing = missing_links(
+        sets.join(open_, "id", "left_semi"), "id", hashes, threshold, labels)
     labels = connected_labels(links.unionByName(missing))
     grouped = firsts.join(
         labels.select(F.col("id").alias("first_id"), "label"), "first_id", "left"
