@@ -19,6 +19,7 @@ from codeloom.session import cut_lineage, stored
 SIGNATURES = 100
 ROWS_PER_BAND = 5
 _COMPACT_EVERY = 8
+_WORTH_IT = 10
 
 
 def union_needed(needed: Column, found: Column) -> Column:
@@ -182,6 +183,49 @@ def near_duplicate_links(
     return done.distinct()
 
 
+def merging_links(sets: DataFrame, threshold: float) -> DataFrame:
+    """(id, leader): links that join the bulk of each group of near copies in ``sets`` (id,
+    hashes), a number of pairs that is at most that of the groups so far in every round.
+
+    In each bucket a group has one member, drawn anew per round, and the bucket one leader of
+    all of them. A group is compared with the leader that it meets in most buckets, then
+    groups with a link are one. So thousands of copies of one text are compared with one of
+    them, once each. Rounds end when one comparison in ``_WORTH_IT`` or fewer gives a link;
+    links that remain between groups are left to ``missing_links``.
+    """
+    members = bucket_members(cut_lineage(signatures(sets, "id", F.col("hashes"))))
+    several = members.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
+    members = cut_lineage(members.join(several.select("bucket"), "bucket", "left_semi"))
+    named = members.withColumn("label", F.col("id"))
+    links = members.select("id", F.col("id").alias("leader")).limit(0)
+    seed = 0
+    while True:
+        seed += 1
+        drawn = F.struct(F.xxhash64(F.lit(seed), "id").alias("order"), "id", "label")
+        groups = named.groupBy("bucket", "label").agg(F.min(drawn).alias("one"))
+        leaders = groups.groupBy("bucket").agg(F.min("one").alias("lead"))
+        met = groups.join(leaders, "bucket").filter(F.col("label") != F.col("lead.label"))
+        often = met.groupBy("label", F.col("lead.label").alias("other")).agg(
+            F.count("*").alias("n"), F.min(F.struct("lead", "one")).alias("pair"))
+        pairs = cut_lineage(
+            often.groupBy("label").agg(F.max(F.struct("n", "pair")).alias("best"))
+            .select("best.pair.*")
+            .select(F.greatest("lead.id", "one.id").alias("id"),
+                    F.least("lead.id", "one.id").alias("leader")).distinct())
+        others = sets.select(F.col("id").alias("leader"), F.col("hashes").alias("other"))
+        linked = cut_lineage(
+            pairs.join(sets, "id").join(others, "leader")
+            .filter(jaccard(F.col("hashes"), F.col("other")) >= threshold)
+            .select("id", "leader"))
+        found = linked.count()
+        # written: what a checkpoint remembers of its plan would grow from round to round
+        links = stored(links.unionByName(linked), "near-links")
+        if found * _WORTH_IT < pairs.count():
+            return links
+        named = members.join(connected_labels(links), "id", "left").select(
+            "id", "bucket", F.coalesce("label", "id").alias("label"))
+
+
 def missing_links(
     docs: DataFrame, id_col: str, hashes: Column, threshold: float, labels: DataFrame
 ) -> DataFrame:
@@ -447,10 +491,10 @@ def connected_labels(links: DataFrame) -> DataFrame:
             "id", F.col("label").alias("old"), F.least("label", "near").alias("label")
         )
         jump = labels.select(F.col("id").alias("label"), F.col("label").alias("next"))
-        moved = cut_lineage(
+        # written: what a checkpoint remembers of its plan would grow from round to round
+        moved = stored(
             nearer.join(jump, "label", "left")
-            .select("id", "old", F.coalesce("next", "label").alias("label"))
-        )
+            .select("id", "old", F.coalesce("next", "label").alias("label")), "labels")
         labels = moved.select("id", "label")
         if moved.filter("label <> old").isEmpty():
             return labels
@@ -463,9 +507,9 @@ def near_duplicate_groups(
     """(id, group_id, kept): groups of copies and near copies; one document is kept each.
 
     Equal texts are folded first, so a text copied any number of times counts once. Texts that
-    do not share enough with others, by far the most, are left out by counting. Links to
-    leaders join the bulk of each group; texts that also share enough with other groups, few,
-    are joined exactly, so the groups are those of all pairs. Kept is the longest text, then
+    do not share enough with others, by far the most, are left out by counting. A few links
+    join the bulk of each group; texts that also share enough with other groups, few, are
+    joined exactly, so the groups are those of all pairs. Kept is the longest text, then
     the largest id.
     """
     copies = cut_lineage(_copies(docs, id_col, text))
@@ -479,7 +523,7 @@ def near_duplicate_groups(
     sets = stored(
         hashed.join(cut_lineage(shared_enough(hashed, threshold)), "id", "left_semi"), "near-sets")
     hashes = F.col("hashes")
-    links = cut_lineage(near_duplicate_links(sets, "id", hashes, threshold))
+    links = merging_links(sets, threshold)
     labels = connected_labels(links)
     # numbers for labels of any type: two labels with one number would lose a link with a
     # chance of 2^-64 per pair
@@ -488,7 +532,7 @@ def near_duplicate_groups(
     open_ = cut_lineage(shared_enough(numbered, threshold, labels=True, half=False))
     missing = missing_links(
         sets.join(open_, "id", "left_semi"), "id", hashes, threshold, labels)
-    labels = connected_labels(links.unionByName(missing))
+    labels = connected_labels(links.unionByName(missing.select("id", "leader")))
     grouped = firsts.join(
         labels.select(F.col("id").alias("first_id"), "label"), "first_id", "left"
     ).select("id", "chars", F.coalesce("label", "first_id").alias("group_id"))
