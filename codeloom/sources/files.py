@@ -13,13 +13,19 @@ from pyspark.sql import functions as F
 from codeloom.functions.filters import PathFilter, has_extension, path_kept
 from codeloom.functions.text import file_entry
 from codeloom.operators.declarations import structural_summary
+from codeloom.sources.tree import local_folder, read_tree, walk
 
 NOT_FOUND = "not found"
 
 
-def _empty_files(spark: SparkSession, scanned: DataFrame) -> DataFrame:
-    """Files without content, which Spark's scans leave out: the names in the file index of
-    the scan that the scan does not return."""
+def _empty_files(spark: SparkSession, scanned: DataFrame, base: str) -> DataFrame:
+    """Files without content, which Spark's scans leave out. On a mounted file system tasks
+    list them; else they are the names in the file index of the scan that it does not return."""
+    default = spark.sparkContext._jsc.hadoopConfiguration().get("fs.defaultFS", "file:///")
+    if base.startswith("file:") or "://" not in base and default.startswith("file:"):
+        return walk(spark, base).filter("size = 0").select(
+            F.concat(F.lit(f"file:{local_folder(base).rstrip('/')}/"), "path").alias("path"),
+            F.col("size").alias("length"), F.lit(b"").alias("content"))
     names = [(unquote(name),) for name in scanned.inputFiles()]
     listed = spark.createDataFrame(names, "path string")
 
@@ -47,7 +53,7 @@ def _scan(
     relative = F.substring("path", start + len(bare) + 2, F.length("path"))
     scanned = reader.load(base).select("path", "length", "content")
     if empty_files:
-        scanned = scanned.unionByName(_empty_files(spark, scanned))
+        scanned = scanned.unionByName(_empty_files(spark, scanned, base))
     return scanned.withColumn("path", relative), base
 
 
@@ -58,8 +64,8 @@ def list_files(
     """(path, size) below ``directory``. Text filters see the relative path, pattern
     filters see the folder too.
 
-    To find empty files, the names of all files go through the driver, which lists them for
-    any scan; ``empty_files=False`` spares that for trees that have none.
+    Empty files are listed by tasks on a mounted file system (``tree.walk``); in other stores
+    the names of all files go through the driver. ``empty_files=False`` spares either.
     """
     files, base = _scan(spark, directory, empty_files)
     return files.filter(path_kept(F.col("path"), include, exclude, base)).select(
@@ -113,6 +119,14 @@ def read_requested(requests: DataFrame, files: DataFrame, missing: str = "error"
     ).drop("_known")
 
 
+def read_requested_from(
+    spark: SparkSession, requests: DataFrame, directory: str, missing: str = "error"
+) -> DataFrame:
+    """Requested paths (path, ...) with ``content`` and ``error``; opens requested files only,
+    each once."""
+    return read_requested(requests, read_tree(spark, directory, hidden=True, only=requests), missing)
+
+
 def read_summarized(files: DataFrame) -> DataFrame:
     """``content`` replaced by the structural summary."""
     return files.withColumn("content", structural_summary(F.col("path"), F.col("content")))

@@ -183,3 +183,67 @@ def test_notes_lose_all_surrounding_whitespace(spark, tmp_path):
     got = {r["path"]: r["note"] for r in K.read_notes(spark, str(tmp_path / "n")).collect()}
     assert got == {"a": "# No explanation available.", "b": "x",
                    "c": "# No explanation available."}
+
+
+def _times(folder):
+    """Files below ``folder`` that were opened since ``_close`` (access time)."""
+    return sorted(str(p.relative_to(folder)) for p in folder.rglob("*")
+                  if p.is_file() and p.stat().st_atime > 1000)
+
+
+def _close(folder):
+    import os
+
+    for p in folder.rglob("*"):
+        if p.is_file():
+            os.utime(p, (1, p.stat().st_mtime))
+
+
+@pytest.mark.parametrize("at_once", [1, 20_000])
+def test_walk_equals_the_tree(spark, tree, monkeypatch, at_once):
+    from codeloom.sources import tree as W
+
+    monkeypatch.setattr(W, "ENTRIES_AT_ONCE", at_once)
+    (tree / "sub" / "deep" / "er").mkdir(parents=True)
+    (tree / "sub" / "deep" / "er" / "e.ts").write_bytes(b"")
+    (tree / "sub" / "deep" / "up").symlink_to(tree)
+    want = {str(p.relative_to(tree)): p.stat().st_size for p in tree.rglob("*") if p.is_file()}
+    got = {r["path"]: r["size"] for r in W.walk(spark, str(tree), hidden=True).collect()}
+    assert got == want
+    shown = {p for p in want if not any(part[0] in "_." for part in p.split("/"))}
+    assert {r["path"] for r in W.walk(spark, f"file:{tree}").collect()} == shown
+    with pytest.raises(ValueError):
+        W.walk(spark, "hdfs://x/y")
+
+
+def test_only_what_is_asked_for_is_opened(spark, tree):
+    from codeloom.sources import tree as W
+
+    asked = spark.createDataFrame(
+        [(0, "no_ext"), (1, "gone"), (2, "no_ext"), (3, "sub/.hidden")], "position int, path string")
+    _close(tree)
+    rows = S.read_requested_from(spark, asked, str(tree)).orderBy("position").collect()
+    assert [(r["content"], r["error"]) for r in rows] == [
+        ("plain", None), (None, "not found"), ("plain", None), ("x", None)]
+    assert set(_times(tree)) <= {"no_ext", "sub/.hidden"}
+    _close(tree)
+    rows = W.search_chunks_from(spark, str(tree), "cjs", 1).collect()
+    assert [(r["rank"], r["path"], r["chunk"]) for r in rows] == [(1, "sub/p=1/c.js", "let c;")]
+    assert set(_times(tree)) <= {"sub/p=1/c.js"}
+    read = {r["path"]: r["content"] for r in W.read_tree(spark, str(tree), [".ts"]).collect()}
+    assert read == {"a.ts": "import x from './b';\r\n", "sub/B.TS": ""}
+    bad = W.read_tree(spark, str(tree), include="bad").first()
+    assert bad["content"] == "ok��"
+
+
+def test_listing_brings_no_name_to_the_driver(spark, tree, monkeypatch):
+    from pyspark.sql import DataFrame
+
+    def refuse(self, *args):
+        raise AssertionError("names on the driver")
+
+    for name in ("inputFiles", "collect", "toPandas", "toLocalIterator"):
+        monkeypatch.setattr(DataFrame, name, refuse)
+    listed = S.list_files(spark, str(tree))
+    monkeypatch.undo()
+    assert listed.count() == 6
