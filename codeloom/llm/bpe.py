@@ -332,15 +332,21 @@ def _result_batch(ids: pa.Array, key: list | None, results: list[tuple | None])
 
 
 def _encode_free(path: str, bits) -> Callable:
-    """Texts without shared chunks are encoded where they are; the others get nulls."""
+    """Texts without shared chunks are encoded where they are, neighbouring copies once; the
+    others get nulls."""
     def run(batches):
         c, test = codec(path), _maybe_shared(bits.value)
         for batch in batches:
             keys = batch.column("key").to_pylist()
             waits = test(keys)
             for first, texts in _texts(batch):
-                results = [None if waits[first + i] else c.digest_text(t)
-                           for i, t in enumerate(texts)]
+                once: dict[bytes, tuple] = {}
+                results = []
+                for i, t in enumerate(texts):
+                    key = keys[first + i]
+                    if not waits[first + i] and key not in once:
+                        once[key] = c.digest_text(t)
+                    results.append(once.get(key))
                 yield _result_batch(batch.column("doc_id").slice(first, len(texts)),
                                     keys[first:first + len(texts)], results)
     return run
@@ -470,6 +476,9 @@ def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """One row per input row: doc_id, n_tokens, ids_sha256 (ids joined by blanks),
     decoded_sha256 (the tokenizer's decoding of the ids).
 
+    Chunks are shared if different texts have them. A text that is there many times shares
+    nothing with itself: it stays where it is, and neighbouring copies are encoded once.
+
     ``tokenizer`` is the path of a tokenizer file on every machine. Null ends as the empty
     text, which has no tokens. Ids may be null or repeat; texts that hold the tokenizer's
     special strings are encoded by the library as a whole. An empty table gives no rows.
@@ -483,8 +492,8 @@ def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     chunks = stored(rows.select("key", "text").mapInArrow(
         _chunk_rows(path), "key binary, place int, digest binary"), "bpe-chunks")
     shared = chunks.groupBy("digest").agg(
-        F.count(F.lit(1)).alias("n"), F.min(F.struct("key", "place")).alias("owner")
-    ).where("n > 1").drop("n")
+        F.min(F.struct("key", "place")).alias("owner"), F.max("key").alias("last")
+    ).where("owner.key <> last").drop("last")  # in different texts, not in copies of one
     holes = stored(chunks.distinct().join(shared, "digest").select(
         "key", "place", "digest",
         (F.struct("key", "place") == F.col("owner")).alias("own")), "bpe-holes")
