@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 import codeloom
 from codeloom.llm import bpe, content_sort, language, mixing, ngram_join
@@ -19,9 +20,13 @@ cloudpickle.register_pickle_by_value(codeloom)
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a language (null texts, texts without a letter) go."""
-    found = language.with_language(docs, language.fit(docs))
-    return found.where(found.lang_pred != language.UNKNOWN).select("row.*")
+    """Documents without a language (null texts, texts without a letter) go. Without any
+    labelled document there is no language to tell; then only these go as well."""
+    model = language.fit(docs)
+    found = language.with_language(docs, model)
+    lettered = F.col("row.text").rlike(r"\p{L}")
+    known = found.lang_pred != language.UNKNOWN if model.langs else lettered
+    return found.where(known).select("row.*")
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
