@@ -3,10 +3,11 @@
 A document is the set of its five-word shingles; two documents link at a Jaccard similarity of
 0.75 or more. Fragments are classes of shingle hashes, not stretches of the order of shingles:
 
-1. Every text sends its shingles to their fragments, packed. A fragment counts in how many
-   different sets each shingle is. Shingles of one set only cannot be shared; a set with too
-   few others cannot have a link. Most texts end here.
-2. The remaining sets have their shingles in one global order, rarest first. Sets that agree
+1. Every text sends its shingles to their fragments, packed. A fragment finds those that
+   several sets have and answers with a count per set, packed by ranges of sets, which add the
+   counts up. A set with too few shared shingles cannot have a link. Most texts end here.
+2. The remaining sets send their shingles once more; a fragment answers with those that are
+   shared and in how many sets each is. They have their shingles in one global order, rarest first. Sets that agree
    in a random minimum are compared with the most central one among them: that links the bulk
    of a family of copies without forming its pairs.
 3. Sets of different groups are candidates if they share a shingle in the prefix of that
@@ -27,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codeloom.llm import kernels as K
-from codeloom.llm.tables import partitions, stored, text_of
+from codeloom.llm.tables import key_filter, may_hold, partitions, stored, text_of
 from codeloom.operators.dedup import connected_labels
 
 WORDS = 5
@@ -83,13 +84,15 @@ def _keys(keep: list[str]) -> Callable:
     return run
 
 
-def _to_fragments(fragments: int) -> Callable:
+def _to_fragments(fragments: int, wanted=None) -> Callable:
     """Rows (fragment, keys, sizes, counts, shingles): for a stretch of texts, which sets have
-    how many shingles in the fragment, and the low 48 bits of these."""
+    how many shingles in the fragment, and the low 48 bits of these. ``wanted``, a filter of
+    keys, leaves other sets out."""
     def run(batches):
+        bits = None if wanted is None else wanted.value
         for batch in batches:
             for first, end, block, inner in _blocks(batch, BLOCK):
-                out = [list(x) for x in _packed(block, inner, fragments)]
+                out = [list(x) for x in _packed(block, inner, fragments, bits)]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([o[0] for o in out], pa.int32()),
                      *(pa.array([o[k] for o in out], pa.binary()) for k in range(1, 5))],
@@ -97,7 +100,8 @@ def _to_fragments(fragments: int) -> Callable:
     return run
 
 
-def _packed(block: np.ndarray, inner: np.ndarray, fragments: int) -> Iterator[tuple]:
+def _packed(block: np.ndarray, inner: np.ndarray, fragments: int, bits: bytes | None
+            ) -> Iterator[tuple]:
     parts, keys, sizes, at = [], [], [], 0
     for _, end, data, offsets in K.blocks(block, inner):
         row, shingle, size, key = _sets(data, offsets)
@@ -110,6 +114,8 @@ def _packed(block: np.ndarray, inner: np.ndarray, fragments: int) -> Iterator[tu
     # copies within the stretch are sent once
     once = np.zeros(len(key), bool)
     once[np.unique(_void(key), return_index=True)[1]] = True
+    if bits is not None:
+        once &= may_hold(bits, key[:, 0].view(np.int64))
     keep = once[row]
     row, shingle = row[keep], shingle[keep]
     fragment = (shingle >> np.uint64(48)) % np.uint64(fragments)
@@ -129,15 +135,14 @@ def _void(keys: np.ndarray) -> np.ndarray:
 _SHARED = "key binary, n int, count int, shingles binary, counts binary"
 
 
-def _shared_shingles(table: pa.Table) -> pa.Table:
-    """Of one fragment: for each set its shingles that other sets have too, and in how many
-    sets each is."""
-    number = int(table.column("fragment")[0].as_py())
+def _shared(table: pa.Table) -> tuple[np.ndarray, ...]:
+    """(keys, sizes, entry, shingle, sets) of one fragment: for each shingle that several sets
+    have, by entry of ``keys``, how many have it."""
     pieces = [np.frombuffer(b"".join(table.column(c).to_pylist()), kind)
               for c, kind in (("keys", "V16"), ("sizes", "<u4"), ("counts", "<u4"))]
     shingle = K.unpack48(b"".join(table.column("shingles").to_pylist()))
     keys, sizes, counts = pieces
-    _, first, inverse = np.unique(keys, return_index=True, return_inverse=True)
+    _, first = np.unique(keys, return_index=True)
     once = np.zeros(len(keys), bool)
     once[first] = True
     entry = np.repeat(np.arange(len(keys)), counts)
@@ -149,7 +154,48 @@ def _shared_shingles(table: pa.Table) -> pa.Table:
     in_sets = np.zeros(len(shingle), np.int64)
     in_sets[order] = np.repeat(frequency, frequency)
     shared = in_sets >= 2
-    entry, shingle, in_sets = entry[shared], shingle[shared], in_sets[shared]
+    return keys, sizes, entry[shared], shingle[shared], in_sets[shared]
+
+
+_COUNTED = "range int, keys binary, sizes binary, counts binary"
+
+
+def _shared_counts(ranges: int) -> Callable[[pa.Table], pa.Table]:
+    """Of one fragment: how many shared shingles each set has there, one row per range of
+    sets."""
+    def run(table: pa.Table) -> pa.Table:
+        keys, sizes, entry, _, _ = _shared(table)
+        owners, count = np.unique(entry, return_counts=True)
+        keys, sizes = keys[owners], sizes[owners]
+        where = (keys.view("<u8")[::2] % np.uint64(ranges)).astype(np.int32)
+        order = np.argsort(where, kind="stable")
+        present, first = np.unique(where[order], return_index=True)
+        cuts = list(zip(first, [*first[1:], len(order)]))
+        return pa.table({
+            "range": pa.array(present, pa.int32()),
+            **{name: pa.array([np.ascontiguousarray(values[order[a:b]]).tobytes()
+                               for a, b in cuts], pa.binary())
+               for name, values in (("keys", keys), ("sizes", sizes),
+                                    ("counts", count.astype("<u4")))}})
+    return run
+
+
+def _enough(table: pa.Table) -> pa.Table:
+    """Keys (their first eight bytes) of a range of sets whose counts allow a link."""
+    keys, sizes, counts = (np.frombuffer(b"".join(table.column(c).to_pylist()), kind)
+                           for c, kind in (("keys", "V16"), ("sizes", "<u4"), ("counts", "<u4")))
+    _, first, which = np.unique(keys, return_index=True, return_inverse=True)
+    total = np.bincount(which.ravel(), counts, len(first))
+    passed = 100 * total >= PERCENT * sizes[first].astype(np.int64)
+    return pa.table({"key": pa.array(
+        np.ascontiguousarray(keys[first][passed]).view("<i8")[::2], pa.int64())})
+
+
+def _shared_shingles(table: pa.Table) -> pa.Table:
+    """Of one fragment: for each set its shingles that other sets have too, and in how many
+    sets each is."""
+    number = int(table.column("fragment")[0].as_py())
+    keys, sizes, entry, shingle, in_sets = _shared(table)
     shingle = shingle | np.uint64((number & 0xFFFF) << 48)
     owners, start, count = np.unique(entry, return_index=True, return_counts=True)
     cells = [(shingle[a:a + n].astype("<u8").tobytes(),
@@ -256,9 +302,12 @@ def set_links(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(links (a, b) between the keys of different sets that suffice for the components,
     labels (id, label) of the linked keys) from rows with ``text``."""
     fragments = partitions(rows)
-    packed = rows.select("text").mapInArrow(
-        _to_fragments(fragments),
-        "fragment int, keys binary, sizes binary, counts binary, shingles binary")
+    sent = "fragment int, keys binary, sizes binary, counts binary, shingles binary"
+    counted = rows.select("text").mapInArrow(_to_fragments(fragments), sent).groupBy(
+        "fragment").applyInArrow(_shared_counts(fragments), _COUNTED)
+    passed = counted.groupBy("range").applyInArrow(_enough, "key long")
+    wanted = rows.sparkSession.sparkContext.broadcast(key_filter(passed))
+    packed = rows.select("text").mapInArrow(_to_fragments(fragments, wanted), sent)
     shared = packed.groupBy("fragment").applyInArrow(_shared_shingles, _SHARED)
     enough = shared.groupBy("key", "n").agg(
         F.sum("count").alias("shared"), F.collect_list(F.struct("shingles", "counts")).alias("cells")
