@@ -158,84 +158,91 @@ def _shared(table: pa.Table) -> tuple[np.ndarray, ...]:
 
 
 _COUNTED = "range int, keys binary, sizes binary, counts binary"
+_SENT_BACK = f"{_COUNTED}, shingles binary, often binary"
 
 
-def _shared_counts(ranges: int) -> Callable[[pa.Table], pa.Table]:
-    """Of one fragment: how many shared shingles each set has there, one row per range of
-    sets."""
+def _by_range(keys: np.ndarray, ranges: int) -> list[tuple[int, np.ndarray]]:
+    """(range, places of its keys)."""
+    where = (keys.view("<u8")[::2] % np.uint64(ranges)).astype(np.int32)
+    order = np.argsort(where, kind="stable")
+    present, first = np.unique(where[order], return_index=True)
+    return [(int(r), order[a:b])
+            for r, a, b in zip(present, first, [*first[1:], len(order)])]
+
+
+def _shared_of(ranges: int, shingles: bool) -> Callable[[pa.Table], pa.Table]:
+    """Of one fragment: how many shared shingles each set has there, and with ``shingles``
+    these and in how many sets each is; one row per range of sets."""
     def run(table: pa.Table) -> pa.Table:
-        keys, sizes, entry, _, _ = _shared(table)
-        owners, count = np.unique(entry, return_counts=True)
+        number = int(table.column("fragment")[0].as_py())
+        keys, sizes, entry, shingle, in_sets = _shared(table)
+        shingle = shingle | np.uint64((number & 0xFFFF) << 48)
+        owners, start, count = np.unique(entry, return_index=True, return_counts=True)
         keys, sizes = keys[owners], sizes[owners]
-        where = (keys.view("<u8")[::2] % np.uint64(ranges)).astype(np.int32)
-        order = np.argsort(where, kind="stable")
-        present, first = np.unique(where[order], return_index=True)
-        cuts = list(zip(first, [*first[1:], len(order)]))
-        return pa.table({
-            "range": pa.array(present, pa.int32()),
-            **{name: pa.array([np.ascontiguousarray(values[order[a:b]]).tobytes()
-                               for a, b in cuts], pa.binary())
-               for name, values in (("keys", keys), ("sizes", sizes),
-                                    ("counts", count.astype("<u4")))}})
+        rows = []
+        for at, places in _by_range(keys, ranges):
+            row = [at, *(np.ascontiguousarray(v[places]).tobytes()
+                         for v in (keys, sizes, count.astype("<u4")))]
+            if shingles:
+                n = count[places]
+                cells = np.repeat(start[places] - np.cumsum(n) + n, n) + np.arange(n.sum())
+                row += [shingle[cells].astype("<u8").tobytes(),
+                        np.minimum(in_sets[cells], 0xFFFFFFFF).astype("<u4").tobytes()]
+            rows.append(row)
+        names = ["range", "keys", "sizes", "counts", "shingles", "often"][:6 if shingles else 4]
+        return pa.table({name: pa.array([r[k] for r in rows], pa.binary() if k else pa.int32())
+                         for k, name in enumerate(names)})
     return run
 
 
-def _enough(table: pa.Table) -> pa.Table:
-    """Keys (their first eight bytes) of a range of sets whose counts allow a link."""
+def _summed(table: pa.Table) -> tuple[np.ndarray, ...]:
+    """(keys, sizes, which set each entry is, count per entry, sets with enough)."""
     keys, sizes, counts = (np.frombuffer(b"".join(table.column(c).to_pylist()), kind)
                            for c, kind in (("keys", "V16"), ("sizes", "<u4"), ("counts", "<u4")))
     _, first, which = np.unique(keys, return_index=True, return_inverse=True)
-    total = np.bincount(which.ravel(), counts, len(first))
-    passed = 100 * total >= PERCENT * sizes[first].astype(np.int64)
+    which = which.ravel()
+    total = np.bincount(which, counts, len(first))
+    enough = 100 * total >= PERCENT * sizes[first].astype(np.int64)
+    return keys[first], sizes[first], which, counts.astype(np.int64), enough
+
+
+def _enough(table: pa.Table) -> pa.Table:
+    """Keys (their first eight bytes) of a range of sets whose counts allow a link."""
+    keys, _, _, _, enough = _summed(table)
     return pa.table({"key": pa.array(
-        np.ascontiguousarray(keys[first][passed]).view("<i8")[::2], pa.int64())})
-
-
-def _shared_shingles(table: pa.Table) -> pa.Table:
-    """Of one fragment: for each set its shingles that other sets have too, and in how many
-    sets each is."""
-    number = int(table.column("fragment")[0].as_py())
-    keys, sizes, entry, shingle, in_sets = _shared(table)
-    shingle = shingle | np.uint64((number & 0xFFFF) << 48)
-    owners, start, count = np.unique(entry, return_index=True, return_counts=True)
-    cells = [(shingle[a:a + n].astype("<u8").tobytes(),
-              np.minimum(in_sets[a:a + n], 0xFFFFFFFF).astype("<u4").tobytes())
-             for a, n in zip(start, count)]
-    return pa.table({
-        "key": pa.array([k.tobytes() for k in keys[owners]], pa.binary()),
-        "n": pa.array(sizes[owners].astype(np.int32)),
-        "count": pa.array(count.astype(np.int32)),
-        "shingles": pa.array([c[0] for c in cells], pa.binary()),
-        "counts": pa.array([c[1] for c in cells], pa.binary()),
-    })
+        np.ascontiguousarray(keys[enough]).view("<i8")[::2], pa.int64())})
 
 
 _RECORD = ("key binary, n int, shared int, central float, shingles array<bigint>,"
            " prefix array<bigint>, minima array<bigint>")
 
 
-def _records(batches):
-    """Sets in the global order (rarest first, then by hash), with the prefix in which links
-    must meet, random minima, and the mean frequency of the shingles."""
+def _records(table: pa.Table) -> pa.Table:
+    """Sets of a range in the global order (rarest first, then by hash), with the prefix in
+    which links must meet, random minima, and the mean frequency of the shingles."""
     salts = K.mix64(np.arange(1, MINIMA + 1, dtype=np.uint64)) | np.uint64(1)
-    for batch in batches:
-        out = []
-        for key, n, cells in zip(batch.column("key").to_pylist(), batch.column("n").to_pylist(),
-                                 batch.column("cells").to_pylist()):
-            shingle = np.frombuffer(b"".join(c["shingles"] for c in cells), "<u8")
-            often = np.frombuffer(b"".join(c["counts"] for c in cells), "<u4")
-            order = np.lexsort((shingle, often))
-            shingle = shingle[order]
-            least = -(-PERCENT * n // 100)
-            signed = shingle.astype(np.int64)
-            out.append((
-                key, n, len(shingle), float(often.sum() + n - len(often)) / n, signed,
-                signed[:len(shingle) - least + 1],
-                [int(K.mix64(shingle * s).min().astype(np.int64)) for s in salts]))
-        kinds = (pa.binary(), pa.int32(), pa.int32(), pa.float32(), *[pa.list_(pa.int64())] * 3)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([o[k] for o in out], kind) for k, kind in enumerate(kinds)],
-            ["key", "n", "shared", "central", "shingles", "prefix", "minima"])
+    keys, sizes, which, counts, enough = _summed(table)
+    shingles, oftens = (np.frombuffer(b"".join(table.column(c).to_pylist()), kind)
+                        for c, kind in (("shingles", "<u8"), ("often", "<u4")))
+    owner = np.repeat(which, counts)
+    keep = enough[owner]
+    owner, shingles, oftens = owner[keep], shingles[keep], oftens[keep]
+    order = np.lexsort((shingles, oftens, owner))
+    owner, shingles, oftens = owner[order], shingles[order], oftens[order]
+    present, first = np.unique(owner, return_index=True)
+    out = []
+    for at, a, b in zip(present.tolist(), first, [*first[1:], len(owner)]):
+        n, shingle, often = int(sizes[at]), shingles[a:b], oftens[a:b].astype(np.int64)
+        least = -(-PERCENT * n // 100)
+        signed = shingle.astype(np.int64)
+        out.append((
+            keys[at].tobytes(), n, len(shingle), float(often.sum() + n - len(often)) / n, signed,
+            signed[:len(shingle) - least + 1],
+            [int(K.mix64(shingle * s).min().astype(np.int64)) for s in salts]))
+    kinds = (pa.binary(), pa.int32(), pa.int32(), pa.float32(), *[pa.list_(pa.int64())] * 3)
+    names = ["key", "n", "shared", "central", "shingles", "prefix", "minima"]
+    return pa.table({name: pa.array([o[k] for o in out], kind)
+                     for k, (name, kind) in enumerate(zip(names, kinds))})
 
 
 def _linked(overlap: Column, a: Column, b: Column) -> Column:
@@ -304,15 +311,12 @@ def set_links(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     fragments = partitions(rows)
     sent = "fragment int, keys binary, sizes binary, counts binary, shingles binary"
     counted = rows.select("text").mapInArrow(_to_fragments(fragments), sent).groupBy(
-        "fragment").applyInArrow(_shared_counts(fragments), _COUNTED)
+        "fragment").applyInArrow(_shared_of(fragments, False), _COUNTED)
     passed = counted.groupBy("range").applyInArrow(_enough, "key long")
     wanted = rows.sparkSession.sparkContext.broadcast(key_filter(passed))
-    packed = rows.select("text").mapInArrow(_to_fragments(fragments, wanted), sent)
-    shared = packed.groupBy("fragment").applyInArrow(_shared_shingles, _SHARED)
-    enough = shared.groupBy("key", "n").agg(
-        F.sum("count").alias("shared"), F.collect_list(F.struct("shingles", "counts")).alias("cells")
-    ).where(100 * F.col("shared") >= PERCENT * F.col("n"))
-    records = stored(enough.select("key", "n", "cells").mapInArrow(_records, _RECORD), "ngram-sets")
+    shared = rows.select("text").mapInArrow(_to_fragments(fragments, wanted), sent).groupBy(
+        "fragment").applyInArrow(_shared_of(fragments, True), _SENT_BACK)
+    records = stored(shared.groupBy("range").applyInArrow(_records, _RECORD), "ngram-sets")
     segments = stored(records.select("key", "n", F.explode(F.array(*[F.struct(
         F.lit(k).alias("fragment"),
         F.filter("shingles", _in_fragment(k)).alias("shingles"))
