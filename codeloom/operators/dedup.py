@@ -220,7 +220,7 @@ def merging_links(sets: DataFrame, threshold: float) -> DataFrame:
         found = linked.count()
         # written: what a checkpoint remembers of its plan would grow from round to round
         links = stored(links.unionByName(linked), "near-links")
-        if found * _WORTH_IT < pairs.count():
+        if found * _WORTH_IT <= pairs.count():
             return links
         named = members.join(connected_labels(links), "id", "left").select(
             "id", "bucket", F.coalesce("label", "id").alias("label"))
@@ -491,10 +491,10 @@ def connected_labels(links: DataFrame) -> DataFrame:
             "id", F.col("label").alias("old"), F.least("label", "near").alias("label")
         )
         jump = labels.select(F.col("id").alias("label"), F.col("label").alias("next"))
-        # written: what a checkpoint remembers of its plan would grow from round to round
-        moved = stored(
+        moved = cut_lineage(
             nearer.join(jump, "label", "left")
-            .select("id", "old", F.coalesce("next", "label").alias("label")), "labels")
+            .select("id", "old", F.coalesce("next", "label").alias("label"))
+        )
         labels = moved.select("id", "label")
         if moved.filter("label <> old").isEmpty():
             return labels
