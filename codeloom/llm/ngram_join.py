@@ -308,14 +308,15 @@ def _prefix_pairs(records: DataFrame, labels: DataFrame) -> DataFrame:
 def set_links(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(links (a, b) between the keys of different sets that suffice for the components,
     labels (id, label) of the linked keys) from rows with ``text``."""
-    fragments = partitions(rows)
+    ranges = partitions(rows)
+    fragments = 2 * ranges  # one fragment at a time is in memory
     sent = "fragment int, keys binary, sizes binary, counts binary, shingles binary"
     counted = rows.select("text").mapInArrow(_to_fragments(fragments), sent).groupBy(
-        "fragment").applyInArrow(_shared_of(fragments, False), _COUNTED)
+        "fragment").applyInArrow(_shared_of(ranges, False), _COUNTED)
     passed = counted.groupBy("range").applyInArrow(_enough, "key long")
     wanted = rows.sparkSession.sparkContext.broadcast(key_filter(passed))
     shared = rows.select("text").mapInArrow(_to_fragments(fragments, wanted), sent).groupBy(
-        "fragment").applyInArrow(_shared_of(fragments, True), _SENT_BACK)
+        "fragment").applyInArrow(_shared_of(ranges, True), _SENT_BACK)
     records = stored(shared.groupBy("range").applyInArrow(_records, _RECORD), "ngram-sets")
     segments = stored(records.select("key", "n", F.explode(F.array(*[F.struct(
         F.lit(k).alias("fragment"),
