@@ -42,6 +42,14 @@ JAVA_OPEN_SIGNATURE = (
 JAVA_SIGNATURE = (
     r"^\s*(public\s+)?[\w<>,\[\]]+\s+\w+\s*\([^)]*\)\s*[;{]|^\s*public\s+\w+\s*\([^)]*\)\s*[;{]"
 )
+# own addition: any modifiers, type parameters, generic types with blanks, thrown types
+_JAVA_MODIFIER = (
+    r"(?:(?:public|protected|private|static|final|abstract|synchronized|native|default)\s+)"
+)
+_JAVA_TYPE = r"(?:<[^>()]*>\s*)?[\w.]+(?:\s*<[^()=;]*>)?(?:\s*\[\s*\])*"
+_JAVA_ANY_HEAD = rf"^\s*(?:{_JAVA_MODIFIER}*{_JAVA_TYPE}\s+|{_JAVA_MODIFIER}+)\w+\s*\("
+JAVA_EXTENDED_OPEN_SIGNATURE = _JAVA_ANY_HEAD + r"[^)]*$"
+JAVA_EXTENDED_SIGNATURE = _JAVA_ANY_HEAD + r"[^)]*\)\s*(?:throws\s+[\w.,\s]+)?[;{]"
 JAVA_SIGNATURE_END = r"[;{]\s*$"
 JAVA_ANNOTATION = r"^\s*@"
 JAVA_STATEMENT_WORDS = ("return", "else", "new", "throw")

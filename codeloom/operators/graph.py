@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codeloom.operators.ordering import with_dense_index
@@ -76,6 +76,50 @@ def breadth_first(
     return seen
 
 
+def trace_order(tree: DataFrame) -> DataFrame:
+    """``tree`` (path, parent, seq) with ``preorder`` and ``subtree``: the place of each file
+    when every file is followed by all that was discovered through it, and their number.
+
+    The tour around the tree goes down into and up out of each file. Steps left until its end
+    come from pointer doubling, so that the number of joins follows the logarithm of the
+    number of files, however deep the tree is. Children of a file are ordered in one group,
+    which is no longer than the file's own list of links.
+    """
+    among = Window.partitionBy("parent").orderBy("seq")
+    placed = cut_lineage(tree.select("path", "parent", "seq").withColumn(
+        "sibling", F.lead("path").over(among)))
+    eldest = placed.filter(F.col("parent").isNotNull()).groupBy(
+        F.col("parent").alias("path")).agg(F.min_by("path", "seq").alias("child"))
+
+    def step(down: bool, path: Column) -> Column:
+        return F.when(path.isNotNull(), F.struct(F.lit(down).alias("down"), path.alias("path")))
+
+    here = F.col("path")
+    ways = placed.join(eldest, "path", "left")
+    tour = ways.select(
+        step(True, here).alias("at"), F.lit(1).cast("long").alias("left"),
+        F.coalesce(step(True, F.col("child")), step(False, here)).alias("next"),
+    ).unionByName(ways.select(
+        step(False, here).alias("at"), F.lit(0).cast("long").alias("left"),
+        F.coalesce(step(True, F.col("sibling")), step(False, F.col("parent"))).alias("next")))
+    tour = cut_lineage(tour)
+    while not tour.filter(F.col("next").isNotNull()).isEmpty():
+        # a step whose tour has ended has no partner and stays as it is
+        ahead = tour.select(F.col("at").alias("next"), F.col("left").alias("more"),
+                            F.col("next").alias("beyond"))
+        tour = cut_lineage(tour.join(ahead, "next", "left").select(
+            "at", (F.col("left") + F.coalesce("more", F.lit(0))).alias("left"),
+            F.col("beyond").alias("next")))
+    counted = tour.groupBy(F.col("at.path").alias("path")).agg(
+        F.max(F.when(F.col("at.down"), F.col("left"))).alias("entered"),
+        F.max(F.when(~F.col("at.down"), F.col("left"))).alias("left_behind"))
+    total = tree.agg(F.count("*").alias("total"))
+    return tree.join(counted, "path").crossJoin(total).withColumns({
+        "preorder": F.col("total") - F.col("entered"),
+        "subtree": F.col("entered") - F.col("left_behind"),
+    }).drop("entered", "left_behind", "total")
+
+
 def reverse_dependencies(edges: DataFrame) -> DataFrame:
     """(dst, src) without repeats: who uses what, as rows."""
     return edges.select("dst", "src").distinct()
@@ -87,12 +131,13 @@ def used_by(edges: DataFrame, order: DataFrame, per_row: int = 1000) -> DataFram
 
     Users go by their sequence number: part 0 holds those below ``per_row``, part 1 the next
     ones, and so on, parts without users have no row. So no task and no row holds an
-    unbounded group, and all rows of a file together are its list.
+    unbounded group, and all rows of a file together are its list. Links of files outside
+    ``order`` go in the first join; repeats go within a part's own group.
     """
-    placed = reverse_dependencies(edges).join(
+    placed = edges.select("dst", "src").join(
         order.select(F.col("path").alias("src"), "seq"), "src"
     ).withColumn("part", F.floor(F.col("seq") / per_row).cast("long"))
-    users = F.array_sort(F.collect_list(F.struct("seq", "src")))
+    users = F.array_sort(F.collect_set(F.struct("seq", "src")))
     return placed.groupBy(F.col("dst").alias("path"), "part").agg(
         F.array_join(F.transform(users, lambda u: u["src"]), ", ").alias("used_by")
     )
@@ -114,13 +159,19 @@ def links_per_file(edges: DataFrame) -> DataFrame:
     )
 
 
-def missing_targets(edges: DataFrame, files: DataFrame) -> DataFrame:
-    """(missing, source, reason, n_links) of relative targets that are no file."""
+def missing_targets(edges: DataFrame, files: DataFrame | None = None) -> DataFrame:
+    """(missing, source, reason, n_links) of relative targets that are no file.
+
+    Edges that were resolved against the files know it already; only others need ``files``.
+    """
+    known = files is None
+    wanted = edges.filter("is_relative AND NOT resolved" if known else "is_relative")
     # grouped before the anti join, so that a target wanted from everywhere is one row
-    wanted = edges.filter("is_relative").groupBy("dst").agg(
+    lost = wanted.groupBy("dst").agg(
         F.min(F.struct("src", "pos", "spec")).alias("first"), F.count("*").alias("n_links")
     )
-    lost = wanted.join(files.select(F.col("path").alias("dst")), "dst", "left_anti")
+    if not known:
+        lost = lost.join(files.select(F.col("path").alias("dst")), "dst", "left_anti")
     return lost.select(
         F.col("dst").alias("missing"), F.col("first.src").alias("source"),
         F.concat(F.lit("imported as "), "first.spec").alias("reason"), "n_links",

@@ -12,6 +12,7 @@ from codeloom.functions.extract import html, java, javascript, typescript
 from codeloom.operators import declarations as D
 from codeloom.plans import corpora
 from codeloom.plans.catalog import expected as X
+from codeloom.plans.corpora import table
 
 
 def _found(corpus: Callable, blocks: Callable[[Column], Column], *columns: str) -> Callable:
@@ -71,9 +72,23 @@ def _headings(content: Column) -> Column:
 
 
 def h1_own_extractor(spark: SparkSession, sf_dir: str) -> DataFrame:
-    D.register_extractor(".md", _headings)
-    return D.declaration_index(corpora.markdown_files(spark, sf_dir)).select(
-        "path", "pos", "kind", "name", "text")
+    found = D.declaration_index(
+        corpora.markdown_files(spark, sf_dir), D.BUILT_IN.adding(".md", _headings))
+    return found.select("path", "pos", "kind", "name", "text")
+
+
+def e7_extended_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Modifiers, generic types with blanks, thrown types, type parameters; calls are none."""
+    key = F.col("p_partkey").cast("string")
+    classes = table(spark, sf_dir, "part").select(
+        F.concat(F.lit("src/Part"), key, F.lit(".java")).alias("path"),
+        F.concat(
+            F.lit("class Part"), key, F.lit(" {\n  private static Map<String, Long> tally"), key,
+            F.lit("(int size) throws IOException {\n    return made(size);\n  }\n  protected Part"),
+            key, F.lit("(long id) {\n    start(id);\n  }\n  public static <T> T first"), key,
+            F.lit("(\n      List<T> of) {\n  }\n}\n")).alias("content"))
+    found = D.explode_blocks(classes, java.signatures(F.col("content"), extended=True))
+    return found.select("path", "kind", "name", "text")
 
 
 _TS, _JS, _JAVA, _JSP = (
@@ -90,6 +105,7 @@ QUERIES = {
     "e6_java_annotations": e6_java_annotations,
     "e7_java_signatures": _found(
         _JAVA, _of_kind(java.signatures, "signature"), "name", "text"),
+    "e7_extended_signatures": e7_extended_signatures,
     "e8_java_long_signatures": _found(
         _JAVA, _of_kind(java.signatures, "long_signature"), "name", "text"),
     "e9_js_imports": _found(_JS, typescript.imports),
@@ -187,6 +203,14 @@ SELECT {_PART}, unnest(['Crate' || p_partkey, 'Tariff' || p_partkey, 'Crate' ||
         "'    public long volume' || p_partkey || '() ;'",
         "'    Money quote' || p_partkey || '(Route route);'",
         names=("'Crate' || p_partkey", "'volume' || p_partkey", "'quote' || p_partkey")),
+    "e7_extended_signatures": """
+SELECT 'src/Part' || p_partkey || '.java' AS path,
+  unnest(['signature', 'signature', 'long_signature']) AS kind,
+  unnest(['tally', 'Part', 'first']) || p_partkey AS name,
+  unnest(['  private static Map<String, Long> tally' || p_partkey || '(int size) throws IOException ;',
+    '  protected Part' || p_partkey || '(long id) ;',
+    '  public static <T> T first' || p_partkey || '(' || chr(10) || '      List<T> of) ;']) AS text
+FROM part""",
     "e8_java_long_signatures": f"""
 SELECT {_PART}, 'ship' || p_partkey AS name, '    public void ship' || p_partkey || '(' || {_NL}
   || '        Route route,' || {_NL} || '        Instant start' || {_NL} || '    ) ;' AS text FROM part""",

@@ -31,7 +31,8 @@ def reached(
 ) -> tuple[DataFrame, DataFrame]:
     """Walk from the entry file: (reached files, all edges)."""
     edges = cut_lineage(_edges(spark, sf_dir).select(
-        "src", F.col("pos").cast("long").alias("pos"), "spec", "dst", "is_relative"))
+        "src", F.col("pos").cast("long").alias("pos"), "spec", "dst", "is_relative",
+        "resolved"))
     return graph.breadth_first(edges, [entry_file(spark, sf_dir)], chains=chains), edges
 
 
@@ -43,6 +44,15 @@ def reached_context(spark: SparkSession, sf_dir: str):
     return order.select("path", "seq"), edges, users, files
 
 
+def records(order: DataFrame) -> DataFrame:
+    """Stand-in answers about each file, for the summary sheet."""
+    return order.select(
+        "path", F.lit(V.DEFAULT_TITLE).alias("title"),
+        F.concat(F.lit("explains "), "path").alias("explanation"),
+        F.lit("").alias("use_case"), F.lit("holds data").alias("abstraction"),
+        F.lit("none").alias("functions_used"))
+
+
 def g1_link_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return links.extract_links(corpora.ts_modules(spark, sf_dir)).select(
         "src", F.col("pos").cast("long").alias("pos"), "spec")
@@ -89,13 +99,16 @@ def g6_chain_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reached(spark, sf_dir, chains=True)[0].select("path", "depth", "chain")
 
 
+def g6_trace_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.trace_order(reached(spark, sf_dir)[0].select("path", "parent", "seq"))
+
+
 def g7_reverse_dependencies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.reverse_dependencies(_edges(spark, sf_dir))
 
 
 def g8_missing_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = corpora.ts_paths(spark, sf_dir)
-    return graph.missing_targets(_edges(spark, sf_dir), files)
+    return graph.missing_targets(_edges(spark, sf_dir))
 
 
 def g9_unexplored(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -153,18 +166,11 @@ def a5_file_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def a5_summary_sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
     order, edges, _, _ = reached_context(spark, sf_dir)
-    name = F.col("path")
-    records = order.select(
-        "path", F.lit(V.DEFAULT_TITLE).alias("title"),
-        F.concat(F.lit("explains "), name).alias("explanation"),
-        F.lit("").alias("use_case"), F.lit("holds data").alias("abstraction"),
-        F.lit("none").alias("functions_used"))
-    return report.summary_sheet(order, records, edges)
+    return report.summary_sheet(order, records(order), edges)
 
 
 def a7_missing_section(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = corpora.ts_paths(spark, sf_dir)
-    return report.missing_lines(graph.missing_targets(_edges(spark, sf_dir), files))
+    return report.missing_lines(graph.missing_targets(_edges(spark, sf_dir)))
 
 
 def u1_union_needed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -191,7 +197,7 @@ def u2_next_frontier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     g1_link_edges, p6_relative_links, g2_resolve_importer, g2_resolve_root, g3_classify,
-    g4_breadth_first, g5_discovery_parent, g6_chain_trace, g7_reverse_dependencies,
+    g4_breadth_first, g5_discovery_parent, g6_chain_trace, g6_trace_order, g7_reverse_dependencies,
     g8_missing_targets, g9_unexplored, g11_context_join, x7_annotate_links,
     a1_links_per_file, a2_used_by, a3_overview_lines, a4_chain_map, a5_file_summaries,
     a5_summary_sheet, a7_missing_section, u1_union_needed, u2_next_frontier,
@@ -205,6 +211,17 @@ _HEADS = """heads AS (
   SELECT r.path, r.seq, l.links, u.used_by FROM reach r
   LEFT JOIN file_links l USING (path) LEFT JOIN users u ON u.path = r.path AND u.is_first)"""
 
+SHEET = """
+SELECT r.seq, r.path, '## Code File (' || regexp_extract(r.path, '([^/]*?)(\\.[jt]s)?$', 1)
+  || '.md)' || chr(10) || chr(10)
+  || '**Explanation:**' || chr(10) || 'explains ' || r.path || chr(10) || chr(10)
+  || '**Use Case:**' || chr(10) || chr(10) || chr(10)
+  || '**Abstraction/Responsibility:**' || chr(10) || 'holds data' || chr(10) || chr(10)
+  || '**Functions/Abstractions Used:**' || chr(10) || 'none' || chr(10) || chr(10)
+  || '**Imports:**' || chr(10) || coalesce('- ' || replace(l.links, ', ', chr(10) || '- '),
+    '(none)') || chr(10) || chr(10) AS entry
+FROM reach r LEFT JOIN file_links l USING (path)"""
+
 ORACLES = {
     "g1_link_edges": X.LINKS + "SELECT src, pos::BIGINT AS pos, spec FROM links",
     "p6_relative_links": X.LINKS + "SELECT src, spec FROM links WHERE spec <> 'fs'",
@@ -226,6 +243,16 @@ FROM specs GROUP BY 1, 2""",
     "g4_breadth_first": X.REACH + "SELECT path, depth FROM reach",
     "g5_discovery_parent": X.REACH + "SELECT path, parent, seq FROM reach",
     "g6_chain_trace": X.REACH + "SELECT path, depth, chain FROM reach",
+    "g6_trace_order": X.REACH.rstrip() + """,
+ways AS (
+  SELECT path, parent, seq, [seq] AS way FROM reach WHERE depth = 0
+  UNION ALL
+  SELECT r.path, r.parent, r.seq, list_append(w.way, r.seq)
+  FROM ways w JOIN reach r ON r.parent = w.path),
+sizes AS (SELECT s AS seq, count(*) AS n FROM (SELECT unnest(way) AS s FROM ways) GROUP BY 1)
+SELECT w.path, w.parent, w.seq, row_number() OVER (ORDER BY w.way) - 1 AS preorder,
+       z.n AS subtree
+FROM ways w JOIN sizes z USING (seq)""",
     "g7_reverse_dependencies": X.LINKS + "SELECT DISTINCT dst, src FROM edges",
     "g8_missing_targets": X.LINKS + f"""
 SELECT dst AS missing, source, 'imported as ' || spec AS reason, n AS n_links
@@ -274,16 +301,7 @@ SELECT r.seq, 1, u.part, '**Used by:** ' || u.used_by || chr(10)
 FROM users u JOIN reach r USING (path)
 UNION ALL
 SELECT seq, 2, 0, '**Summary:**' || chr(10) || 'about ' || path || chr(10) FROM reach""",
-    "a5_summary_sheet": X.CONTEXT + """
-SELECT r.seq, r.path, '## Code File (' || regexp_extract(r.path, '([^/]*?)(\\.[jt]s)?$', 1)
-  || '.md)' || chr(10) || chr(10)
-  || '**Explanation:**' || chr(10) || 'explains ' || r.path || chr(10) || chr(10)
-  || '**Use Case:**' || chr(10) || chr(10) || chr(10)
-  || '**Abstraction/Responsibility:**' || chr(10) || 'holds data' || chr(10) || chr(10)
-  || '**Functions/Abstractions Used:**' || chr(10) || 'none' || chr(10) || chr(10)
-  || '**Imports:**' || chr(10) || coalesce('- ' || replace(l.links, ', ', chr(10) || '- '),
-    '(none)') || chr(10) || chr(10) AS entry
-FROM reach r LEFT JOIN file_links l USING (path)""",
+    "a5_summary_sheet": X.CONTEXT + SHEET,
     "a7_missing_section": X.LINKS + f"""
 SELECT dst AS missing, '- **' || dst || '**' || chr(10) || '  - Source: ' || source || chr(10)
   || '  - Reason wanted for review: imported as ' || spec AS line FROM ({_MISSING})""",

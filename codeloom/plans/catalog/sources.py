@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from codeloom.operators import chunks, graph, links
 from codeloom.plans import corpora, report
 from codeloom.plans.catalog import expected as X
-from codeloom.plans.catalog.links import reached_context
+from codeloom.plans.catalog import links as L
+from codeloom.plans.catalog.links import reached_context, records
 from codeloom.plans.corpora import table
-from codeloom.session import scratch_path
+from codeloom.session import cut_lineage, scratch_path
 from codeloom.sources import files as S
 from codeloom.sources import sinks as K
 from codeloom.streaming.reviews import as_updates
@@ -101,15 +102,21 @@ def k1_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def k2_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
-    order, edges, users, files = reached_context(spark, sf_dir)
+    order, edges, users, _ = reached_context(spark, sf_dir)
     entry = order.filter("seq = 0").first()["path"]
-    lines = report.path_summary(
+    summary = report.path_summary(
         order, edges, users,
         order.select("path", F.concat(F.lit("about "), "path").alias("summary")),
         graph.missing_targets(
-            edges.join(order.select(F.col("path").alias("src")), "src", "left_semi"), files),
+            edges.join(order.select(F.col("path").alias("src")), "src", "left_semi")),
         entry,
-    ).withColumn("report", F.lit("path-summary"))
+    )
+    # the final review is the same text under a name of its own
+    whole = cut_lineage(summary)
+    lines = whole.withColumn("report", F.lit("path-summary")).unionByName(
+        whole.withColumn("report", F.lit("review"))
+    ).unionByName(report.files_summary(order, records(order), edges).withColumn(
+        "report", F.lit("files-summary")))
     target = scratch_path(spark, "reports")
     K.write_report(lines, target, "2024-01-01-00")
     return spark.read.schema("line string, run_id string, report string").text(target).select(
@@ -134,10 +141,21 @@ def k3_review_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     ))
 
 
+def k3_rendered_review(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The text of the review: every line with the part of the text that it stands in."""
+    target = scratch_path(spark, "review")
+    final = K.write_review(spark, target, None, "1", as_updates(table(spark, sf_dir, "events")))
+    history = spark.read.schema(
+        "updated_at timestamp, entry string, version string").parquet(f"{target}/history")
+    K.write_rendered_review(report.review_lines(final, history), target, "1")
+    return spark.read.schema("line string, version string").text(f"{target}/text").select(
+        "version", "line")
+
+
 QUERIES = {f.__name__: f for f in (
     s1_list_corpus, s2_list_by_extension, s3_read_full, s4_read_requested,
     s4_read_requested_skip, s5_summarized_read, s6_bundle, s7_fetch_chunks, k1_notes,
-    k2_reports, k3_review_upsert,
+    k2_reports, k3_review_upsert, k3_rendered_review,
 )}
 
 _SUMMARIES = f"""{X.LINKS}
@@ -224,9 +242,16 @@ texts AS (
   UNION ALL SELECT chr(10) || '# Missing Files' || chr(10) WHERE EXISTS (SELECT 1 FROM lost)
   UNION ALL
   SELECT '- **' || dst || '**' || chr(10) || '  - Source: ' || source || chr(10)
-    || '  - Reason wanted for review: imported as ' || spec FROM lost)
-SELECT '2024-01-01-00' AS run_id, 'path-summary' AS report,
-       unnest(string_split(t, chr(10))) AS line FROM texts"""
+    || '  - Reason wanted for review: imported as ' || spec FROM lost),
+sheet AS (
+  SELECT '# File Summaries' || chr(10) AS t
+  UNION ALL
+  SELECT regexp_replace(entry, '\\n$', '') FROM (""" + L.SHEET + """)),
+written AS (
+  SELECT unnest(['path-summary', 'review']) AS report, t FROM texts
+  UNION ALL SELECT 'files-summary', t FROM sheet)
+SELECT '2024-01-01-00' AS run_id, report,
+       unnest(string_split(t, chr(10))) AS line FROM written"""
 
 ORACLES = {
     "s1_list_corpus": f"""
@@ -264,6 +289,15 @@ SELECT '2024-01-01-00' AS run_id, 'd' || d.doc_id || '.txt' AS path,
        THEN regexp_replace(d.text, '^\s+|\s+$', '', 'g') ELSE '# No explanation available.' END AS note
 FROM documents d LEFT JOIN labels l USING (doc_id)""",
     "k2_reports": _REPORT,
+    "k3_rendered_review": """
+WITH best AS (
+  SELECT arg_max(props, (length(props), ts, props)) AS body FROM events GROUP BY user_id),
+texts AS (
+  SELECT trim(body, ' ' || chr(9) || chr(10) || chr(13)) || chr(10) AS t FROM best
+  UNION ALL SELECT '## History' || chr(10)
+  UNION ALL
+  SELECT '- ' || strftime(ts, '%Y-%m-%dT%H:%M:%S.%g') || 'Z: ' || event_type FROM events)
+SELECT '1' AS version, unnest(string_split(t, chr(10))) AS line FROM texts""",
     "k3_review_upsert": """
 SELECT 'section' AS kind, user_id::VARCHAR AS key,
        arg_max(props, (length(props), ts, props)) AS body FROM events GROUP BY user_id

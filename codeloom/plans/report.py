@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from codeloom import fixed_values as V
 from codeloom.functions.paths import stem
+from codeloom.functions.text import strip
 from codeloom.operators.graph import first_and_further, links_per_file
 
 LINE_COLUMNS = ["seq", "kind", "pos", "line"]
@@ -108,6 +109,39 @@ def summary_sheet(order: DataFrame, records: DataFrame, edges: DataFrame) -> Dat
     )
 
 
+def files_summary(order: DataFrame, records: DataFrame, edges: DataFrame) -> DataFrame:
+    """All lines of the files summary (section, seq, kind, pos, line)."""
+    zero = F.lit(0).cast("long")
+    sheet = summary_sheet(order, records, edges).select(
+        F.lit(1).cast("long").alias("section"), "seq", zero.alias("kind"), zero.alias("pos"),
+        # an entry ends in an empty line, the sink ends its row with a newline of its own
+        F.regexp_replace("entry", r"\n\z", "").alias("line"))
+    heading = order.sparkSession.range(1).select(
+        zero.alias("section"), F.lit(-1).cast("long").alias("seq"), zero.alias("kind"),
+        zero.alias("pos"), F.lit(f"{V.SUMMARIES_HEADING}\n").alias("line"))
+    return heading.unionByName(sheet)
+
+
+def review_lines(sections: DataFrame, history: DataFrame) -> DataFrame:
+    """All lines of a review (section, key, at, line) in the order of these columns: bodies of
+    ``sections`` (section_key, body) by key, then the tail with the entries of ``history``
+    (updated_at, entry) by time.
+
+    Nothing is gathered into one row: the text is the lines in order, so a review or a
+    history of any length stays spread over tasks.
+    """
+    none, start = F.lit("").alias("key"), F.lit(None).cast("timestamp").alias("at")
+    number = lambda n: F.lit(n).cast("long").alias("section")
+    bodies = sections.select(
+        number(0), F.col("section_key").alias("key"), start,
+        F.concat(strip(F.col("body")), F.lit("\n")).alias("line"))
+    heading = sections.sparkSession.range(1).select(
+        number(1), none, start, F.lit(V.HISTORY_HEADING).alias("line"))
+    entries = history.select(
+        number(2), none, F.col("updated_at").alias("at"), F.col("entry").alias("line"))
+    return bodies.unionByName(heading).unionByName(entries)
+
+
 def _headings(spark: SparkSession, entry: str) -> DataFrame:
     """Fixed lines around the sections; their number does not depend on the data."""
     rows = [

@@ -40,6 +40,14 @@ def write_report(lines: DataFrame, target: str, run_id: str) -> None:
     )
 
 
+def write_rendered_review(lines: DataFrame, target: str, version: str) -> None:
+    """Review lines (section, key, at, line) as ordered text files of one version."""
+    (
+        cut_lineage(lines).orderBy("section", "key", "at", "line").select("line")
+        .write.mode("overwrite").text(f"{target}/text/version={version}")
+    )
+
+
 def merge_review(sections: DataFrame | None, updates: DataFrame) -> DataFrame:
     """Sections (section_key, body, updated_at) after the updates: per key the most
     complete body, the latest of these."""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -22,10 +23,15 @@ def maintain_review(updates: DataFrame, target: str, checkpoint: str) -> Streami
     """
 
     def fold(batch: DataFrame, batch_id: int) -> None:
-        merge_review(None, batch).write.mode("overwrite").parquet(
-            f"{target}/sections/batch_id={batch_id}")
-        history_lines(batch).write.mode("overwrite").parquet(
-            f"{target}/history/batch_id={batch_id}")
+        # two jobs write from it; what an executor takes with it is read from the source again
+        batch = batch.persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            merge_review(None, batch).write.mode("overwrite").parquet(
+                f"{target}/sections/batch_id={batch_id}")
+            history_lines(batch).write.mode("overwrite").parquet(
+                f"{target}/history/batch_id={batch_id}")
+        finally:
+            batch.unpersist()
 
     return (
         updates.writeStream.foreachBatch(fold)

@@ -126,6 +126,33 @@ def test_java_signatures(spark):
     ]
 
 
+def test_java_extended_signatures(spark):
+    content = """class A {
+  private static void hidden() {
+    int x = made(3);
+    if (x > 1) { return made(x); }
+    for (int i = 0; i < x; i++) {
+    this.start(x);
+  }
+  protected final synchronized Map<String, List<Long>> all(int a) throws IOException, Other {
+  public <T extends A> T[] many(
+      T one,
+      T two) throws Problem {
+  private A(int size) {
+  } else if (a) {
+    new Thing(a);
+}
+"""
+    found = texts(spark, lambda c: java.signatures(c, extended=True), content)
+    assert found == [
+        "  private static void hidden() ;",
+        "  protected final synchronized Map<String, List<Long>> all(int a) throws IOException, Other ;",
+        "  public <T extends A> T[] many(\n      T one,\n      T two) throws Problem ;",
+        "  private A(int size) ;"]
+    # the plain form takes a single modifier for a type
+    assert texts(spark, java.signatures, content) == found[3:]
+
+
 def test_java_statement_words_can_be_switched_off(spark):
     found = texts(spark, lambda c: java.signatures(c, ()), "  return f(a);\n  new Thing(a);\n")
     assert found == ["  return f(a);", "  new Thing(a);"]
@@ -210,9 +237,11 @@ def test_own_extractor(spark):
         return F.transform(lines, lambda t: F.struct(
             F.lit("todo").alias("kind"), t.alias("name"), t.alias("text")))
 
-    D.register_extractor(".todo", todo)
+    own = D.BUILT_IN.adding(".TODO", todo)
     rows = files(spark, ("x.todo", "TODO a, TODO b"), ("y.other", "TODO c"))
     assert [(r["path"], r["kind"], r["name"]) for r in
-            D.declaration_index(rows).orderBy("pos").collect()] == [
+            D.declaration_index(rows, own).orderBy("pos").collect()] == [
         ("x.todo", "todo", "a"), ("x.todo", "todo", "b")]
-    assert D.summarized(rows).orderBy("path").first()["summary"] == "a\n\nb"
+    assert D.summarized(rows, own).orderBy("path").first()["summary"] == "a\n\nb"
+    # nobody else's extractors change
+    assert D.declaration_index(rows).count() == 0

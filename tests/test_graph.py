@@ -122,6 +122,48 @@ def test_forms_that_are_no_links(spark):
     assert links.extract_links(files).count() == 0
 
 
+def pre_order(rows):
+    """(path, place, size) of a tree, plainly."""
+    under = {}
+    for path, parent, seq in sorted(rows, key=lambda r: r[2]):
+        under.setdefault(parent, []).append(path)
+    order, size = [], {}
+
+    def visit(path):
+        order.append(path)
+        size[path] = 1 + sum(visit(p) for p in under.get(path, []))
+        return size[path]
+
+    for path in under.get(None, []):
+        visit(path)
+    return sorted((p, i, size[p]) for i, p in enumerate(order))
+
+
+def test_trace_order_of_random_trees(spark):
+    rng = random.Random(5)
+    pairs = [(f"n{rng.randrange(80)}", f"n{rng.randrange(80)}") for _ in range(170)]
+    pairs += [(f"d{i}", f"d{i + 1}") for i in range(9)]  # deep, besides the wide part
+    tree = graph.breadth_first(edges_df(spark, pairs), ["n5", "d0", "n77"]).select(
+        "path", "parent", "seq")
+    got = graph.trace_order(tree)
+    assert sorted((r["path"], r["preorder"], r["subtree"]) for r in got.collect()) == pre_order(
+        [tuple(r) for r in tree.collect()])
+    assert graph.trace_order(tree.limit(0)).count() == 0
+
+
+def test_missing_targets_of_resolved_edges(spark):
+    edges = edges_df(spark, [("a", "b"), ("c", "gone"), ("b", "gone")]).withColumn(
+        "resolved", F.col("dst") != "gone")
+    assert [tuple(r) for r in graph.missing_targets(edges).collect()] == [
+        ("gone", "b", "imported as gone", 2)]
+
+
+def test_users_of_repeated_and_outside_links(spark):
+    edges = edges_df(spark, [("a", "x"), ("a", "x"), ("out", "x"), ("b", "x")])
+    order = spark.createDataFrame([("b", 0), ("a", 1), ("x", 2)], "path string, seq long")
+    assert [tuple(r) for r in graph.used_by(edges, order).collect()] == [("x", 0, "b, a")]
+
+
 def test_missing_and_unexplored_and_frontier(spark):
     edges = edges_df(spark, [("a", "b"), ("c", "gone"), ("b", "gone"), ("a", "c")])
     files = spark.createDataFrame([("a",), ("b",), ("c",)], "path string")

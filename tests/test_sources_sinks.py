@@ -107,6 +107,48 @@ def test_review_versions(spark, tmp_path):
         "- 2024-01-01T00:00:00.000Z: r1"] * 2 + ["- 2024-01-02T00:00:00.000Z: r2"] * 2
 
 
+def test_rendered_review_text(spark, tmp_path):
+    """Bodies by section, then the history by time."""
+    at = datetime.datetime
+    updates = spark.createDataFrame(
+        [("s2", " second \n", at(2024, 1, 2), "later"), ("s1", "first\nlines", at(2024, 1, 1), "made")],
+        "section_key string, body string, updated_at timestamp, reason string")
+    sections = K.merge_review(None, updates)
+    K.write_rendered_review(
+        report.review_lines(sections, K.history_lines(updates)), str(tmp_path), "1")
+    parts = sorted((tmp_path / "text" / "version=1").glob("part-*"))
+    assert "".join(p.read_text() for p in parts) == """first
+lines
+
+second
+
+## History
+
+- 2024-01-01T00:00:00.000Z: made
+- 2024-01-02T00:00:00.000Z: later
+"""
+
+
+def test_files_summary_text(spark, tmp_path):
+    edges = spark.createDataFrame(
+        [("a.ts", 0, "b.ts"), ("a.ts", 1, "c")], "src string, pos long, dst string")
+    order = spark.createDataFrame([("a.ts", 0), ("b.ts", 1)], "path string, seq long")
+    about = spark.createDataFrame(
+        [("a.ts", "A", "e", "u", "x", "f"), ("b.ts", "B", "", "", "", "")],
+        "path string, title string, explanation string, use_case string, abstraction string,"
+        " functions_used string")
+    K.write_report(report.files_summary(order, about, edges).withColumn(
+        "report", F.lit("files-summary")), str(tmp_path), "r")
+    parts = sorted((tmp_path / "run_id=r" / "report=files-summary").glob("part-*"))
+    assert "".join(p.read_text() for p in parts) == (
+        "# File Summaries\n\n## A (a.md)\n\n**Explanation:**\ne\n\n**Use Case:**\nu\n\n"
+        "**Abstraction/Responsibility:**\nx\n\n**Functions/Abstractions Used:**\nf\n\n"
+        "**Imports:**\n- b.ts\n- c\n\n"
+        "## B (b.md)\n\n**Explanation:**\n\n\n**Use Case:**\n\n\n"
+        "**Abstraction/Responsibility:**\n\n\n**Functions/Abstractions Used:**\n\n\n"
+        "**Imports:**\n(none)\n\n")
+
+
 def test_report_text(spark, tmp_path):
     """The whole text of a small report, as read from the files in name order."""
     edges = spark.createDataFrame(
