@@ -2,10 +2,16 @@
 
 Statistics of a text come from array functions within its row, without a shuffle. Their
 transformed vectors are judged per language and source against a minimum-covariance-determinant
-estimate: from a start by medians, concentration steps keep the H share of the vectors that
-are nearest to the centre and take mean and covariance anew. Everything is sums, exact
-percentiles over whole numbers with a bounded number of values, and columns; a group with a
-third of all rows is summed in the map tasks first.
+estimate: from two fixed starts (medians, and the covariance of vectors drawn in towards them),
+concentration steps keep the H share of the vectors that are nearest to the centre and take
+mean and covariance anew, until no determinant falls any more; the start that ends with the
+smaller one counts. A last step reweights: every vector within the chi-square bound takes part.
+
+Groups of any size have an estimate: their means of values and products are drawn towards
+those of their language, and these towards those of all texts, as if PRIOR vectors of the
+wider group were among their own. Everything is sums, exact percentiles over whole numbers with
+a bounded number of values, and columns; a group with a third of all rows is summed in the map
+tasks first, and only numbers of groups that still move reach the driver.
 """
 
 from __future__ import annotations
@@ -20,20 +26,27 @@ from codeloom.llm.tables import SPACE, same, stored, text_of
 
 #: Base rules: least words, and greatest share (percent) of words in repeated windows.
 MIN_WORDS, MAX_REPEATED, WINDOW = 20, 30, 8
-#: Share of vectors that a concentration step keeps, and number of steps.
-H, STEPS = 0.75, 3
+#: Words of this many characters at most are short.
+SHORT = 3
+#: Share of vectors that a concentration step keeps.
+H = 0.75
+#: A determinant falls if its logarithm does so by more than this.
+LEAST_FALL = 0.01
 #: Vectors are whole numbers, this many to one.
 UNIT = 1000
-#: Groups with fewer vectors take the estimate of their language, and that of all texts if
-#: their language has too few.
-LEAST = 200
-#: Least standard deviation of each statistic: what may vary without being strange.
-FLOORS = (1.0, 0.12, 0.3, 0.8, 0.8)
-#: Median of the chi-square distribution for five statistics, and greatest squared distance
-#: that is kept: nearly 16 standard deviations, wide because lengths and quoted passages give
-#: clean texts long tails.
-CHI_MEDIAN, LIMIT = 4.351, 250.0
+#: Vectors of the wider group that count along with a group's own.
+PRIOR = 100
+#: Least standard deviation of a statistic: for groups without any spread, far below that of
+#: texts (0.05 and more).
+FLOOR = 0.004
+#: Chi-square distribution of five statistics: its median, the 97.5 % quantile within which
+#: vectors are reweighted, what makes their covariance whole again, and the greatest squared
+#: distance that is kept. Of normal vectors one in 10^12 is beyond it, none of a corpus of
+#: 100 TB; no label has a part in it.
+CHI_MEDIAN, CHI_NEAR, CONSISTENCY, LIMIT = 4.3515, 12.8325, 1.05553, 65.2386
 _NAMES = ("x1", "x2", "x3", "x4", "x5")
+_ZONE = ("level", "g1", "g2")
+_GROUP = (*_ZONE, "start")
 
 
 def _or_zero(c: Column) -> Column:
@@ -50,7 +63,9 @@ def _pairs_hash(hashes: Column, distance: int) -> Column:
 
 
 def statistics(docs: DataFrame, *keep: str, text_col: str = "text") -> DataFrame:
-    """``keep`` with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (long).
+    """``keep`` with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_marks
+    (characters that are neither letters, digits nor blanks), n_short (words of up to SHORT
+    characters) and n_distinct (different words), all long.
 
     Null text has no words. A window of words is known by 64 bits of its words' hashes.
     """
@@ -65,7 +80,10 @@ def statistics(docs: DataFrame, *keep: str, text_col: str = "text") -> DataFrame
         let(F.filter(F.split("_text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")),
             lambda own: (F.size(own) - F.size(F.array_distinct(own))).cast("long"))
         .alias("n_dup_lines"),
-        _repeated(F.col("_words")).cast("long").alias("n_repeat_words"))
+        _repeated(F.col("_words")).cast("long").alias("n_repeat_words"),
+        F.regexp_count("_text", F.lit(r"[^\p{L}\p{N}\s]")).cast("long").alias("n_marks"),
+        F.size(F.filter("_words", lambda w: F.length(w) <= SHORT)).cast("long").alias("n_short"),
+        F.size(F.array_distinct("_words")).cast("long").alias("n_distinct"))
 
 
 def _repeated(words: Column) -> Column:
@@ -101,64 +119,82 @@ def base_failed() -> Column:
 
 
 def _vector() -> list[Column]:
-    """Transformed statistics as whole numbers."""
-    words = F.col("n_words").cast("double")
-    share = lambda c, of: F.log(1 + 100 * F.col(c) / of)
-    raw = (
-        F.log(1 + words), F.log(F.col("word_chars") / words),
-        share("n_symbols", F.col("word_chars").cast("double")), share("n_dup_lines", words),
-        share("n_repeat_words", words),
-    )
+    """Transformed statistics as whole numbers. Shares are smoothed log-odds, so that texts
+    without any marks or short words differ by their length instead of being all alike."""
+    words, chars = F.col("n_words").cast("double"), F.col("word_chars").cast("double")
+
+    def odds(part: str, of: Column) -> Column:
+        return F.log((F.col(part) + 0.5) / (F.greatest(of - F.col(part), F.lit(0.0)) + 0.5))
+
+    raw = (F.log(words), F.log(chars / words), odds("n_marks", chars), odds("n_short", words),
+           F.log(F.col("n_distinct").cast("double")))
     return [F.round(x * UNIT).cast("long").alias(n) for x, n in zip(raw, _NAMES)]
 
 
 def _levels(rows: DataFrame) -> DataFrame:
     """Every vector three times: for its language and source, its language, and all."""
-    return rows.select(F.explode(F.array(
-        F.struct(F.lit(2).alias("level"), F.col("lang").alias("g1"), F.col("source").alias("g2")),
-        F.struct(F.lit(1).alias("level"), F.col("lang").alias("g1"),
-                 F.lit(None).cast("string").alias("g2")),
-        F.struct(F.lit(0).alias("level"), F.lit(None).cast("string").alias("g1"),
-                 F.lit(None).cast("string").alias("g2")),
-    )).alias("g"), *_NAMES).select("g.*", *_NAMES)
+    none = F.lit(None).cast("string")
 
+    def zone(level: int, g1: Column, g2: Column) -> Column:
+        return F.struct(F.lit(level).alias("level"), g1.alias("g1"), g2.alias("g2"))
 
-_GROUP = ("level", "g1", "g2")
+    return rows.select(F.explode(F.array(
+        zone(2, F.col("lang"), F.col("source")), zone(1, F.col("lang"), none),
+        zone(0, none, none))).alias("g"), *_NAMES).select("g.*", *_NAMES)
 
 
-def _with(rows: DataFrame, params: DataFrame) -> DataFrame:
-    p = params.select(*[F.col(c).alias(f"p_{c}" if c in _GROUP else c) for c in params.columns])
-    on = reduce(lambda a, b: a & b, (same(F.col(c), F.col(f"p_{c}")) for c in _GROUP))
-    return rows.join(p, on).drop(*[f"p_{c}" for c in _GROUP])
+def _with(rows: DataFrame, params: DataFrame, on: tuple[str, ...]) -> DataFrame:
+    p = params.select(*[F.col(c).alias(f"p_{c}" if c in on else c) for c in params.columns])
+    equal = reduce(lambda a, b: a & b, (same(F.col(c), F.col(f"p_{c}")) for c in on))
+    return rows.join(p, equal).drop(*[f"p_{c}" for c in on])
 
 
 def _sum(columns: list[Column]) -> Column:
     return reduce(lambda a, b: a + b, columns)
 
 
-def _distance(deviations: list[Column]) -> Column:
+def _deviations() -> list[Column]:
+    return [F.col(x) - F.col(f"m_{i}") for i, x in enumerate(_NAMES)]
+
+
+def _distance() -> Column:
     """Squared Mahalanobis distance: each row k_ij of the inverse Cholesky factor gives one
     independent deviation; a whole number, a hundred to one, so that percentiles stay exact
     and bounded."""
-    own = [_sum([F.col(f"k_{i}_{j}") * deviations[j] for j in range(i + 1)])
-           for i in range(len(deviations))]
+    off = _deviations()
+    own = [_sum([F.col(f"k_{i}_{j}") * off[j] for j in range(i + 1)]) for i in range(len(off))]
     return F.round(F.least(_sum([F.pow(y, F.lit(2)) for y in own]), F.lit(10000.0)) * 100
                    ).cast("long")
 
 
-def _factors(moments: DataFrame) -> DataFrame:
-    """Centre m_i and inverse Cholesky factor k_ij of the covariance with floors on its
-    diagonal. Groups are few; their rows carry the work, so that rows of texts need not."""
+def _shrunk(groups: DataFrame) -> DataFrame:
+    """Means of groups (level, g1, g2, start, n, ...) drawn towards those of the wider group,
+    with weight n against PRIOR at any size. ``groups`` must be stored: it is read three times."""
+    means = [c for c in groups.columns if c not in (*_GROUP, "n")]
+
+    def towards(own: DataFrame, wider: DataFrame, on: tuple[str, ...]) -> DataFrame:
+        far = wider.select(*on, *[F.col(c).alias(f"w_{c}") for c in means])
+        return _with(own, far, on).select(*_GROUP, "n", *[
+            ((F.col("n") * F.col(c) + PRIOR * F.col(f"w_{c}")) / (F.col("n") + PRIOR)).alias(c)
+            for c in means])
+
+    level = lambda k: groups.where(F.col("level") == k)
+    by_lang = towards(level(1), level(0), ("start",))
+    return level(0).unionByName(by_lang).unionByName(towards(level(2), by_lang, ("g1", "start")))
+
+
+def _factors(means: DataFrame, scale: float = 1.0) -> DataFrame:
+    """Centre m_i, inverse Cholesky factor k_ij and log of the determinant of the covariance.
+    Groups are few; their rows carry the work, so that rows of texts need not."""
     p = len(_NAMES)
-    n = F.col("n").cast("double")
-    out = moments.withColumns({f"m_{i}": F.col(f"s_{i}") / n for i in range(p)})
+    out = means.withColumns({f"m_{i}": F.col(f"s_{i}") for i in range(p)})
     for i in range(p):
         for j in range(i + 1):
-            cov = F.col(f"s_{i}_{j}") / n - F.col(f"m_{i}") * F.col(f"m_{j}")
+            part = (F.col(f"s_{i}_{j}") - F.col(f"m_{i}") * F.col(f"m_{j}")) * scale
             if i == j:
-                cov = F.greatest(cov, F.lit(0.0)) + F.lit((FLOORS[i] * UNIT) ** 2)
+                part = F.greatest(part, F.lit(0.0)) + F.lit((FLOOR * UNIT) ** 2)
             rest = [F.col(f"l_{i}_{k}") * F.col(f"l_{j}_{k}") for k in range(j)]
-            part = cov - _sum(rest) if rest else cov
+            part = part - _sum(rest) if rest else part
             out = out.withColumn(
                 f"l_{i}_{j}", F.sqrt(F.greatest(part, F.lit(1.0))) if i == j
                 else part / F.col(f"l_{j}_{j}"))
@@ -167,58 +203,120 @@ def _factors(moments: DataFrame) -> DataFrame:
             F.col(f"l_{i}_{m}") * F.col(f"k_{m}_{j}") for m in range(j, i)
         ]) / F.col(f"l_{i}_{i}") for j in range(i)}
         out = out.withColumns(before | {f"k_{i}_{i}": 1 / F.col(f"l_{i}_{i}")})
-    return out.select(*_GROUP, *[f"m_{i}" for i in range(p)],
-                      *[f"k_{i}_{j}" for i in range(p) for j in range(i + 1)])
+    return out.select(
+        *_GROUP, *[f"m_{i}" for i in range(p)],
+        *[f"k_{i}_{j}" for i in range(p) for j in range(i + 1)],
+        (2 * _sum([F.log(f"l_{i}_{i}") for i in range(p)])).alias("logdet"))
 
 
 def _moments(rows: DataFrame) -> DataFrame:
+    """Means of the statistics and of their products per group."""
     p = len(_NAMES)
-    sums = [F.sum(_NAMES[i]).cast("double").alias(f"s_{i}") for i in range(p)] + [
-        F.sum(F.col(_NAMES[i]) * F.col(_NAMES[j])).cast("double").alias(f"s_{i}_{j}")
-        for i in range(p) for j in range(i + 1)]
-    return rows.groupBy(*_GROUP).agg(F.count(F.lit(1)).alias("n"), *sums)
+    return rows.groupBy(*_GROUP).agg(
+        F.count(F.lit(1)).cast("double").alias("n"),
+        *[F.avg(_NAMES[i]).alias(f"s_{i}") for i in range(p)],
+        *[F.avg(F.col(_NAMES[i]) * F.col(_NAMES[j])).alias(f"s_{i}_{j}")
+          for i in range(p) for j in range(i + 1)])
 
 
-def estimates(vectors: DataFrame) -> DataFrame:
-    """Minimum-covariance-determinant estimate per group with at least LEAST vectors:
-    level, g1, g2, centre, inverse factors, and the median distance of all its vectors."""
-    rows = stored(_levels(vectors), "mcd-vectors")
+def _fitted(rows: DataFrame, scale: float = 1.0) -> DataFrame:
+    return _factors(_shrunk(stored(_moments(rows), "mcd-means")), scale)
+
+
+def _starts(rows: DataFrame) -> DataFrame:
+    """Start 0: medians and median deviations. Start 1: mean and covariance of the vectors
+    drawn in towards the medians, which sees how statistics go together."""
     p = len(_NAMES)
-    medians = rows.groupBy(*_GROUP).agg(
-        F.count(F.lit(1)).alias("n"),
+    first = F.lit(0).alias("start")
+    medians = stored(rows.groupBy(*_ZONE).agg(
+        F.count(F.lit(1)).cast("double").alias("n"),
         *[F.percentile(x, 0.5).alias(f"m_{i}") for i, x in enumerate(_NAMES)]
-    ).where(F.col("n") >= LEAST).drop("n")
-    spread = _with(rows, medians).groupBy(*_GROUP).agg(
-        *[F.percentile(F.abs(F.col(x) - F.col(f"m_{i}")).cast("long"), 0.5).alias(f"d_{i}")
-          for i, x in enumerate(_NAMES)])
-    start = _with(medians, spread).select(
+    ).select("*", first), "mcd-medians")
+    middle = stored(_shrunk(medians), "mcd-middle")
+    spread = stored(_with(rows, middle, _ZONE).groupBy(*_GROUP).agg(
+        F.count(F.lit(1)).cast("double").alias("n"),
+        *[F.percentile(F.round(F.abs(off)).cast("long"), 0.5).alias(f"d_{i}")
+          for i, off in enumerate(_deviations())]), "mcd-spread")
+    centre = stored(_with(
+        middle.drop("n"), _shrunk(spread).drop("n"), _GROUP
+    ).withColumns({f"d_{i}": F.greatest(1.4826 * F.col(f"d_{i}"), F.lit(FLOOR * UNIT))
+                   for i in range(p)}), "mcd-centre")
+    plain = centre.select(
         *_GROUP, *[f"m_{i}" for i in range(p)],
-        *[(1 / F.greatest(1.4826 * F.col(f"d_{i}"), F.lit(FLOORS[i] * UNIT)) if i == j
-           else F.lit(0.0)).alias(f"k_{i}_{j}") for i in range(p) for j in range(i + 1)])
-    params = stored(start, "mcd-start")
-    for _ in range(STEPS):
-        far = _measured(rows, params)
-        cut = far.groupBy(*_GROUP).agg(F.percentile("d2", H).alias("cut"))
-        near = _with(far.select(*_GROUP, *_NAMES, "d2"), cut).where(F.col("d2") <= F.col("cut"))
-        params = stored(_factors(_moments(near)), "mcd-step")
-    middle = _measured(rows, params).groupBy(*_GROUP).agg(F.percentile("d2", 0.5).alias("middle"))
-    return stored(_with(params, middle), "mcd")
+        *[(1 / F.col(f"d_{i}") if i == j else F.lit(0.0)).alias(f"k_{i}_{j}")
+          for i in range(p) for j in range(i + 1)],
+        F.lit(float("inf")).alias("logdet"))
+    drawn = _with(rows, centre, _ZONE).select(*_ZONE, F.lit(1).alias("start"), *[
+        (F.col(f"m_{i}") + F.col(f"d_{i}") * F.tanh(off / F.col(f"d_{i}"))).alias(x)
+        for i, (x, off) in enumerate(zip(_NAMES, _deviations()))])
+    return plain.unionByName(_fitted(drawn).withColumn("logdet", F.lit(float("inf"))))
+
+
+def _nearest(rows: DataFrame, params: DataFrame) -> DataFrame:
+    """The H share of each group's vectors that is nearest to its centre."""
+    far = _measured(rows, params)
+    cut = far.groupBy(*_GROUP).agg(F.percentile("d2", H).alias("cut"))
+    return _with(far.select(*_GROUP, *_NAMES, "d2"), cut, _GROUP).where(
+        F.col("d2") <= F.col("cut"))
+
+
+def _concentrated(rows: DataFrame) -> DataFrame:
+    """Estimates of all groups from both starts, when no determinant falls any more. Each step
+    lowers one of them by LEAST_FALL at least and floors bound them, so that it ends."""
+    step, params = 0, stored(_starts(rows).withColumn("step", F.lit(0)), "mcd-start")
+    body = [c for c in params.columns if c not in _GROUP]
+    while True:
+        step += 1
+        fresh = _fitted(_nearest(rows, params)).withColumn("step", F.lit(step))
+        chosen = stored(params.select(*_GROUP, *body).unionByName(fresh).groupBy(*_GROUP).agg(
+            F.min_by(F.struct(*body), F.struct("logdet", "step")).alias("best"),
+            (F.max("logdet") - F.min("logdet")).alias("fall"),
+        ).select(*_GROUP, "best.*", "fall"), "mcd-step")
+        if chosen.where((F.col("step") == step) & (F.col("fall") > LEAST_FALL)).isEmpty():
+            return chosen.select(*_GROUP, *body)
+        params = chosen
+
+
+def _scaled(rows: DataFrame, params: DataFrame) -> DataFrame:
+    """``params`` with ``middle``: the median distance of a group's vectors."""
+    middle = stored(_measured(rows, params).groupBy(*_GROUP).agg(
+        F.count(F.lit(1)).cast("double").alias("n"), F.percentile("d2", 0.5).alias("middle")),
+        "mcd-distances")
+    return stored(_with(params, _shrunk(middle).drop("n"), _GROUP), "mcd-scaled")
 
 
 def _measured(rows: DataFrame, params: DataFrame) -> DataFrame:
-    return _with(rows, params).withColumn(
-        "d2", _distance([F.col(x) - F.col(f"m_{i}") for i, x in enumerate(_NAMES)]))
+    return _with(rows, params, _ZONE).withColumn("d2", _distance())
+
+
+def _normal_distance() -> Column:
+    """Squared distance on the scale whose median the normal distribution has."""
+    return _distance() / F.greatest("middle", F.lit(1.0)) * CHI_MEDIAN
+
+
+def estimates(vectors: DataFrame) -> DataFrame:
+    """Reweighted minimum-covariance-determinant estimate per group of vectors (lang, source,
+    x1 to x5): level, g1, g2, start, centre, inverse factors, logdet, and the median distance
+    of its vectors."""
+    rows = stored(_levels(vectors), "mcd-vectors")
+    found = _concentrated(rows)
+    body = [c for c in found.columns if c not in _ZONE]
+    raw = _scaled(rows, found.groupBy(*_ZONE).agg(
+        F.min_by(F.struct(*body), F.struct("logdet", "start")).alias("best")
+    ).select(*_ZONE, "best.*").withColumn("start", F.lit(0)))
+    near = _with(rows, raw, _ZONE).where(_normal_distance() <= CHI_NEAR)
+    return _scaled(rows, stored(_fitted(near, CONSISTENCY), "mcd-weighted"))
 
 
 def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
            lang_col: str = "lang", source_col: str = "source") -> DataFrame:
     """One row per input row: doc_id, the statistics, base_failed, kept, distance (null where
-    base_failed or where no group has an estimate).
+    base_failed).
 
     ``kept`` is false if base_failed, else whether the squared distance, scaled so that its
-    median in the group is what the normal distribution has, is at most LIMIT. Null
-    languages and sources are groups of their own. Without any estimate (fewer than LEAST
-    vectors in all) everything that passes the base rules is kept.
+    median in the group is what the normal distribution has, is at most LIMIT. Null languages
+    and sources are groups of their own. An empty table gives no rows, and a group of equal
+    vectors keeps them all.
     """
     keys = docs.select(
         F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"),
@@ -226,26 +324,15 @@ def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     stats = stored(statistics(keys, "id", "lang", "source").withColumn(
         "base_failed", base_failed()), "quality")
     vectors = stats.where(~F.col("base_failed")).select("lang", "source", *_vector())
-    found = estimates(vectors)
-    rest = stats
-    factors = [c for c in found.columns if c not in _GROUP]
-    for level, keys_of in ((2, ("lang", "source")), (1, ("lang",)), (0, ())):
-        own = found.where(F.col("level") == level).select(
-            F.struct(*factors).alias(f"e{level}"),
-            *[F.col(g).alias(f"k{level}_{c}") for g, c in zip(("g1", "g2"), keys_of)],
-            F.lit(0).alias(f"z{level}"))
-        on = [same(F.col(c), F.col(f"k{level}_{c}")) for c in keys_of] or [
-            F.lit(0) == F.col(f"z{level}")]
-        rest = rest.withColumn("z", F.lit(0)) if not keys_of else rest
-        on = [F.col("z") == F.col(f"z{level}")] if not keys_of else on
-        rest = rest.join(own, reduce(lambda a, b: a & b, on), "left")
-    best = rest.withColumn("e", F.coalesce("e2", "e1", "e0")).select(
-        *stats.columns, "e.*", *_vector())
-    d2 = _distance([F.col(x) - F.col(f"m_{i}") for i, x in enumerate(_NAMES)])
-    scaled = d2 / F.greatest("middle", F.lit(1.0)) * CHI_MEDIAN
-    distance = F.when(~F.col("base_failed"), scaled)
-    return best.select(
+    own = estimates(vectors).where(F.col("level") == 2).select(
+        F.col("g1").alias("p_lang"), F.col("g2").alias("p_source"),
+        F.struct("middle", *[f"m_{i}" for i in range(len(_NAMES))], *[
+            f"k_{i}_{j}" for i in range(len(_NAMES)) for j in range(i + 1)]).alias("e"))
+    of_group = same(F.col("lang"), F.col("p_lang")) & same(F.col("source"), F.col("p_source"))
+    measured = stats.join(own, of_group, "left").select(*stats.columns, "e.*", *_vector())
+    distance = F.when(~F.col("base_failed"), _normal_distance())
+    return measured.select(
         F.col("id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines",
         "n_repeat_words", "base_failed",
-        (~F.col("base_failed") & F.coalesce(distance <= LIMIT, F.lit(True))).alias("kept"),
-        F.round(distance, 3).alias("distance"))
+        (~F.col("base_failed") & (distance <= LIMIT)).alias("kept"),
+        F.round(distance, 3).alias("distance"), "n_marks", "n_short", "n_distinct")

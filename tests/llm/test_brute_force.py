@@ -49,30 +49,96 @@ def test_quality_statistics(docs):
     assert got.where("base_failed and kept").count() == 0
 
 
-def test_quality_estimate_is_that_of_numpy(spark):
-    """The concentration steps on the vectors of one group, redone with numpy."""
-    docs = documents(spark, "/root/testdata/sf0.01")
+def _vectors(spark, docs):
     stats = quality.statistics(docs, "doc_id", "lang", "source").withColumn(
         "base_failed", quality.base_failed()).where("not base_failed")
-    x = np.array(stats.select(*quality._vector()).collect(), float)
-    floors = np.array(quality.FLOORS) * quality.UNIT
-    centre = np.median(x, axis=0)
-    spread = np.maximum(1.4826 * np.median(np.floor(np.abs(x - centre)), axis=0), floors)
-    inverse = np.diag(1 / spread ** 2)
+    return stats.select("lang", "source", *quality._vector())
+
+
+def _estimate(x):
+    """The estimate of one group without a wider one, by numpy."""
+    floor = np.eye(x.shape[1]) * (quality.FLOOR * quality.UNIT) ** 2
+
+    def fit(near, scale=1.0):
+        return near.mean(axis=0), np.cov(near.T, bias=True) * scale + floor
 
-    def distances():
+    def distances(centre, cov):
         d = x - centre
-        return np.minimum(np.einsum("ij,jk,ik->i", d, inverse, d), 1e4)
-    for _ in range(quality.STEPS):
-        d2 = np.round(distances() * 100)
-        near = x[d2 <= np.quantile(d2, quality.H)]
-        centre = near.mean(axis=0)
-        inverse = np.linalg.inv(np.cov(near.T, bias=True) + np.diag(floors ** 2))
-    d2 = np.round(distances() * 100)
-    found = quality.estimates(stats.select("lang", "source", *quality._vector()))
-    row = found.where("level = 0").collect()[0]
+        return np.round(np.minimum(np.einsum("ij,jk,ik->i", d, np.linalg.inv(cov), d), 1e4) * 100)
+
+    middle = np.median(x, axis=0)
+    spread = np.maximum(
+        1.4826 * np.median(np.round(np.abs(x - middle)), axis=0), quality.FLOOR * quality.UNIT)
+    ends = []
+    for start in ((middle, np.diag(spread ** 2)),
+                  fit(middle + spread * np.tanh((x - middle) / spread))):
+        last, params = np.inf, start
+        while True:
+            d2 = distances(*params)
+            fresh = fit(x[d2 <= np.quantile(d2, quality.H)])
+            now = np.linalg.slogdet(fresh[1])[1]
+            if now < last:
+                params, last, fall = fresh, now, last - now
+            else:
+                break
+            if fall <= quality.LEAST_FALL:
+                break
+        ends.append((last, params))
+    d2 = distances(*min(ends, key=lambda e: e[0])[1])
+    near = x[d2 / max(np.median(d2), 1) * quality.CHI_MEDIAN <= quality.CHI_NEAR]
+    centre, cov = fit(near, quality.CONSISTENCY)
+    return centre, np.median(distances(centre, cov))
+
+
+def test_quality_estimate_is_that_of_numpy(spark):
+    """The steps of the group of all vectors, redone with numpy."""
+    vectors = _vectors(spark, documents(spark, "/root/testdata/sf0.01"))
+    x = np.array(vectors.select(*quality._NAMES).collect(), float)
+    centre, middle = _estimate(x)
+    row = quality.estimates(vectors).where("level = 0").collect()[0]
     assert np.allclose([row[f"m_{i}"] for i in range(5)], centre, rtol=1e-6, atol=1e-3)
-    assert abs(row["middle"] - np.median(d2)) <= 2
+    assert abs(row["middle"] - middle) <= 2
+
+
+def test_quality_floor_is_far_below_the_spread(spark):
+    vectors = _vectors(spark, documents(spark, "/root/testdata/sf0.01"))
+    assert min(np.array(vectors.select(*quality._NAMES).collect(), float).std(axis=0)) > (
+        10 * quality.FLOOR * quality.UNIT)
+
+
+def test_quality_rejects_outliers_of_correlation(spark):
+    """Texts whose every statistic is usual, but not all of them together: the covariance
+    tells, bounds for each statistic alone would not."""
+    rng = np.random.default_rng(2)
+    known = [f"{a}{b}{c}" for a in "bdfgklmn" for b in "aeiou" for c in ("r", "st", "sten", "ndig", "lung")]
+
+    share = 1 / (np.arange(len(known)) + 3)
+
+    def text(n, kinds):
+        chosen = rng.choice(kinds, n, p=share[:kinds] / share[:kinds].sum())
+        return " ".join(known[i] + "." * (rng.random() < 0.1) for i in chosen)
+
+    rows = [(i, text(n, len(known)), "en", "s") for i, n in
+            enumerate(rng.integers(30, 320, 600))]
+    # as many words as a long text, as few different ones as a short text
+    rows += [(1000 + i, text(300, 16), "en", "s") for i in range(5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = {r.doc_id: r for r in quality.judged(docs).collect()}
+    planted = [got[1000 + i] for i in range(5)]
+    clean = [got[i] for i in range(600) if not got[i].base_failed]
+    tested = [r for r in planted if not r.base_failed]
+    assert len(tested) == 5 and not any(r.kept for r in tested)
+    assert sum(r.kept for r in clean) >= 0.98 * len(clean)
+    lows = min(r.n_distinct for r in clean), max(r.n_words for r in clean)
+    assert all(r.n_distinct >= lows[0] and r.n_words <= lows[1] for r in tested)
+
+
+def test_quality_groups_of_any_size(spark):
+    """One text, or equal texts, are a group too and lie at the centre of nothing else."""
+    docs = spark.createDataFrame(
+        [(1, BASE, "xx", "a"), (2, BASE, None, None), (3, BASE, None, None)],
+        "doc_id long, text string, lang string, source string")
+    assert [r.kept for r in quality.judged(docs).collect()] == [True] * 3
 
 
 def test_quality_keeps_clean_and_rejects_junk(spark):
