@@ -188,3 +188,20 @@ def test_fetch_and_search_chunks(spark):
     found = chunks.search_chunks(files, "ots", 2, "lines").collect()
     assert [(r["path"], r["chunk"]) for r in found] == [
         ("src/one.ts", "a"), ("src/one.ts", "b"), ("src/other.ts", "c")]
+
+
+def test_fuzzy_batch_never_gathers_the_letters_of_paths(spark, monkeypatch):
+    """However small the table of paths is, only the queries are sent to all tasks."""
+    names = some_paths()
+    df = spark.createDataFrame([(n,) for n in names], "path string")
+    asked = spark.createDataFrame([(q,) for q in QUERIES], "query string")
+    wanted = sorted((q, s, n) for q in QUERIES for n in names if (s := score(n, q)))
+    for few, join in ((10_000, "BroadcastHashJoin"), (0, "SortMergeJoin")):
+        monkeypatch.setattr(search, "FEW_QUERIES", few)
+        found = search.fuzzy_search_batch(df, asked, top_n=1000)
+        got = sorted((r["query"], r["score"], r["path"]) for r in found.collect())
+        assert got == wanted
+        plan = found._jdf.queryExecution().sparkPlan().toString()
+        joins = [line for line in plan.splitlines() if "letter" in line and "Join" in line]
+        assert joins and all(join in line for line in joins)
+        assert not any("BuildLeft" in line for line in joins)
