@@ -14,19 +14,26 @@ from codeloom.plans.corpora import table
 from codeloom.session import cut_lineage, scratch_path
 from codeloom.sources import files as S
 from codeloom.sources import sinks as K
+from codeloom.sources import tree
 from codeloom.streaming.reviews import as_updates
 
 _FOLDER_FILE = r"file=([^/]+)/"
+_NO_NAME = "__HIVE_DEFAULT_PARTITION__"  # as Spark names the folder of nulls
 
 
 def _written_js_modules(spark: SparkSession, sf_dir: str) -> str:
     """The JS corpus as real files, one folder per file name."""
     target = scratch_path(spark, "js-tree")
     # the text sink ends every row with a newline of its own
-    corpora.js_modules(spark, sf_dir).select(
+    rows = corpora.js_modules(spark, sf_dir).select(
         F.regexp_replace("path", "^js/", "").alias("file"),
         F.regexp_replace("content", r"\n\z", "").alias("value"),
-    ).write.partitionBy("file").text(target)
+    )
+    if S.on_mounted(spark, target):
+        named = F.concat(F.lit("file="), F.coalesce("file", F.lit(_NO_NAME)))
+        tree.write_folders(rows.select(named.alias("folder"), "value"), target)
+    else:
+        rows.repartition("file").write.partitionBy("file").text(target)
     return target
 
 

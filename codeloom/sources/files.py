@@ -18,11 +18,16 @@ from codeloom.sources.tree import local_folder, read_tree, walk
 NOT_FOUND = "not found"
 
 
+def on_mounted(spark: SparkSession, directory: str) -> bool:
+    """Whether tasks can open the folder by its path."""
+    default = spark.sparkContext._jsc.hadoopConfiguration().get("fs.defaultFS", "file:///")
+    return directory.startswith("file:") or "://" not in directory and default.startswith("file:")
+
+
 def _empty_files(spark: SparkSession, scanned: DataFrame, base: str) -> DataFrame:
     """Files without content, which Spark's scans leave out. On a mounted file system tasks
     list them; else they are the names in the file index of the scan that it does not return."""
-    default = spark.sparkContext._jsc.hadoopConfiguration().get("fs.defaultFS", "file:///")
-    if base.startswith("file:") or "://" not in base and default.startswith("file:"):
+    if on_mounted(spark, base):
         return walk(spark, base).filter("size = 0").select(
             F.concat(F.lit(f"file:{local_folder(base).rstrip('/')}/"), "path").alias("path"),
             F.col("size").alias("length"), F.lit(b"").alias("content"))

@@ -1,4 +1,4 @@
-"""Folders walked and files opened by tasks; no name passes through the driver.
+"""Folders walked, files opened and written by tasks; no name passes through the driver.
 
 For trees below a folder that all executors can open by path (a mounted file system). Trees in
 other stores are listed and read by Spark's own scan (``files``).
@@ -7,6 +7,7 @@ other stores are listed and read by Spark's own scan (``files``).
 from __future__ import annotations
 
 import os
+import uuid
 from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
@@ -123,6 +124,51 @@ def with_content(paths: DataFrame, directory: str) -> DataFrame:
     return paths.mapInArrow(run, f"{ddl}, content string")
 
 
+def write_folders(rows: DataFrame, directory: str) -> None:
+    """Rows (folder, value) as text files, one file in each folder below ``directory``: its
+    values, each with a newline after it.
+
+    Rows meet by folder in a shuffle, and every task writes the files of its own folders. A file
+    gets its name when it is whole, so a task that runs again replaces it. No list of files is
+    committed by the driver, which otherwise moves folder after folder.
+    """
+    base = local_folder(directory)
+    if base is None:
+        raise ValueError(f"{directory} is not on a mounted file system")
+    os.makedirs(base, exist_ok=True)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, out, unnamed = None, None, ""
+
+        def close() -> None:
+            if out is not None:
+                out.close()
+                os.rename(unnamed, os.path.join(base, at, "part-00000.txt"))
+
+        try:
+            for batch in batches:
+                for folder, value in zip(batch.column(0).to_pylist(), batch.column(1)):
+                    if folder != at:
+                        close()
+                        at, out = folder, None
+                        os.makedirs(os.path.join(base, at), exist_ok=True)
+                        unnamed = os.path.join(base, at, f".part-{uuid.uuid4().hex}")
+                        out = open(unnamed, "wb")
+                    out.write((value.as_py() or "").encode() + b"\n")
+            close()
+            out = None
+        finally:
+            if out is not None and not out.closed:
+                out.close()
+        yield from ()
+
+    (
+        rows.select("folder", "value").repartition(_partitions(rows.sparkSession), "folder")
+        .sortWithinPartitions("folder").mapInArrow(run, "done boolean")
+        .write.format("noop").mode("overwrite").save()
+    )
+
+
 def read_tree(
     spark: SparkSession, directory: str, extensions: Sequence[str] = (),
     include: PathFilter = None, exclude: PathFilter = None, hidden: bool = False,

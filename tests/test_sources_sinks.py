@@ -11,6 +11,7 @@ from codeloom.operators import graph
 from codeloom.plans import report
 from codeloom.sources import files as S
 from codeloom.sources import sinks as K
+from codeloom.sources import tree as tree_module
 
 
 @pytest.fixture
@@ -289,3 +290,17 @@ def test_listing_brings_no_name_to_the_driver(spark, tree, monkeypatch):
     listed = S.list_files(spark, str(tree))
     monkeypatch.undo()
     assert listed.count() == 6
+
+
+def test_folders_are_written_by_tasks(spark, tmp_path):
+    """One file a folder, rows of a folder together, nothing but named files, twice the same."""
+    rows = spark.createDataFrame(
+        [(f"file=m{i % 40}.js", f"line {i % 40}") for i in range(80)] + [("file=n", None)],
+        "folder string, value string").repartition(7)
+    for _ in range(2):
+        tree_module.write_folders(rows, f"file:{tmp_path}/t")
+    found = [p for p in (tmp_path / "t").rglob("*") if p.is_file()]
+    assert len(found) == 41 and {p.name for p in found} == {"part-00000.txt"}
+    got = {r["path"]: r["content"] for r in S.read_files(spark, f"{tmp_path}/t", [".txt"]).collect()}
+    assert got == {f"file=m{i}.js/part-00000.txt": f"line {i}\n" * 2 for i in range(40)} | {
+        "file=n/part-00000.txt": "\n"}
