@@ -8,6 +8,7 @@ from collections import deque
 from pyspark.sql import functions as F
 
 from codeloom.operators import graph, links, ordering
+from codeloom.session import stored_by
 
 
 def edges_df(spark, pairs):
@@ -178,3 +179,18 @@ def test_missing_and_unexplored_and_frontier(spark):
     needed = spark.createDataFrame([("x", "A", 0), ("y", "c", 0)], "path string, parent string, pos long")
     assert sorted(tuple(r) for r in graph.next_frontier(linked, needed).collect()) == [
         ("x", 0, "a", 1), ("y", 1, "c", 0)]
+
+
+def test_edges_stored_by_source_are_not_shuffled_again(spark):
+    """Neither a level nor a group by source moves the links; only a level's files move."""
+    pairs = [(f"n{i}", f"n{(i * 7 + k) % 50}") for i in range(50) for k in range(3)]
+    edges = stored_by(edges_df(spark, pairs), "src", "edges")
+    level = spark.range(5).selectExpr("concat('n', id) AS src")
+    plan = edges.join(level.hint("shuffle_hash"), "src")._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin" in plan and plan.count("Exchange hashpartitioning") == 1
+    assert "Sort " not in plan
+    plan = graph.links_per_file(edges)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+    walk = graph.breadth_first(edges, ["n3"], by_source=True)
+    assert walked(walk) == queue_walk(pairs, ["n3"])
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("edges_")]
