@@ -261,6 +261,35 @@ def test_lines_with_further_searches(spark, monkeypatch):
     test_lines(documents(spark))
 
 
+def _pairs_compared(docs, monkeypatch):
+    """(line decisions, pairs compared exactly in each search)."""
+    compared, stored = [], lines.stored
+
+    def counted(df, label):
+        out = stored(df, label)
+        if label == "lines-pairs":
+            compared.append(out.count())
+        return out
+
+    monkeypatch.setattr(lines, "stored", counted)
+    return {r.doc_id: r.removed for r in lines.line_decisions(docs).collect()}, compared
+
+
+def test_long_lines_that_differ_are_not_compared(spark, monkeypatch):
+    """Lines of 150 to 900 words with few in common, and a near copy of each."""
+    draw = np.random.default_rng(5)
+    data = []
+    for i in range(40):
+        words = [f"w{k}" for k in draw.choice(20_000, 150 + 750 * i // 40, replace=False)]
+        words[:12] = [f"shared{k}" for k in range(12)]
+        data.append((i, " ".join(words)))
+        data.append((100 + i, " ".join(words[:-20] + [f"new{i}x{k}" for k in range(20)])))
+    docs = spark.createDataFrame(data, "doc_id long, text string")
+    got, compared = _pairs_compared(docs, monkeypatch)
+    assert got == {i: [0] if i >= 100 else [] for i, _ in data}
+    assert sum(compared) <= 80
+
+
 def test_lines_are_taken_out(spark):
     docs = spark.createDataFrame(
         [(1, "a b c\nx", "s"), (2, "y\nc b a\nz", "t"), (3, None, "u")],
