@@ -44,6 +44,9 @@ FLOOR = 0.004
 #: distance that is kept. Of normal vectors one in 10^12 is beyond it, none of a corpus of
 #: 100 TB; no label has a part in it.
 CHI_MEDIAN, CHI_NEAR, CONSISTENCY, LIMIT = 4.3515, 12.8325, 1.05553, 65.2386
+#: Groups of both starts whose numbers are sent to the texts; with more of them, texts are
+#: shuffled to their groups.
+FEW_GROUPS = 10_000
 _NAMES = ("x1", "x2", "x3", "x4", "x5")
 _ZONE = ("level", "g1", "g2")
 _GROUP = (*_ZONE, "start")
@@ -149,6 +152,17 @@ def _with(rows: DataFrame, params: DataFrame, on: tuple[str, ...]) -> DataFrame:
     return rows.join(p, equal).drop(*[f"p_{c}" for c in on])
 
 
+def _sent(params: DataFrame, few: bool) -> DataFrame:
+    """What groups have, for the rows of texts: sent to them, so that no row is shuffled to its
+    group, if groups are few."""
+    return F.broadcast(params) if few else params
+
+
+def _few(params: DataFrame) -> bool:
+    """Whether the stored rows of groups are few enough to be sent to all tasks."""
+    return params.limit(FEW_GROUPS + 1).count() <= FEW_GROUPS
+
+
 def _sum(columns: list[Column]) -> Column:
     return reduce(lambda a, b: a + b, columns)
 
@@ -233,7 +247,8 @@ def _starts(rows: DataFrame) -> DataFrame:
         *[F.percentile(x, 0.5).alias(f"m_{i}") for i, x in enumerate(_NAMES)]
     ).select("*", first), "mcd-medians")
     middle = stored(_shrunk(medians), "mcd-middle")
-    spread = stored(_with(rows, middle, _ZONE).groupBy(*_GROUP).agg(
+    few = _few(middle)
+    spread = stored(_with(rows, _sent(middle, few), _ZONE).groupBy(*_GROUP).agg(
         F.count(F.lit(1)).cast("double").alias("n"),
         *[F.percentile(F.round(F.abs(off)).cast("long"), 0.5).alias(f"d_{i}")
           for i, off in enumerate(_deviations())]), "mcd-spread")
@@ -246,7 +261,7 @@ def _starts(rows: DataFrame) -> DataFrame:
         *[(1 / F.col(f"d_{i}") if i == j else F.lit(0.0)).alias(f"k_{i}_{j}")
           for i in range(p) for j in range(i + 1)],
         F.lit(float("inf")).alias("logdet"))
-    drawn = _with(rows, centre, _ZONE).select(*_ZONE, F.lit(1).alias("start"), *[
+    drawn = _with(rows, _sent(centre, few), _ZONE).select(*_ZONE, F.lit(1).alias("start"), *[
         (F.col(f"m_{i}") + F.col(f"d_{i}") * F.tanh(off / F.col(f"d_{i}"))).alias(x)
         for i, (x, off) in enumerate(zip(_NAMES, _deviations()))])
     return plain.unionByName(_fitted(drawn).withColumn("logdet", F.lit(float("inf"))))
@@ -254,9 +269,10 @@ def _starts(rows: DataFrame) -> DataFrame:
 
 def _nearest(rows: DataFrame, params: DataFrame) -> DataFrame:
     """The H share of each group's vectors that is nearest to its centre."""
-    far = _measured(rows, params)
+    few = _few(params)
+    far = _measured(rows, params, few)
     cut = far.groupBy(*_GROUP).agg(F.percentile("d2", H).alias("cut"))
-    return _with(far.select(*_GROUP, *_NAMES, "d2"), cut, _GROUP).where(
+    return _with(far.select(*_GROUP, *_NAMES, "d2"), _sent(cut, few), _GROUP).where(
         F.col("d2") <= F.col("cut"))
 
 
@@ -279,14 +295,14 @@ def _concentrated(rows: DataFrame) -> DataFrame:
 
 def _scaled(rows: DataFrame, params: DataFrame) -> DataFrame:
     """``params`` with ``middle``: the median distance of a group's vectors."""
-    middle = stored(_measured(rows, params).groupBy(*_GROUP).agg(
+    middle = stored(_measured(rows, params, _few(params)).groupBy(*_GROUP).agg(
         F.count(F.lit(1)).cast("double").alias("n"), F.percentile("d2", 0.5).alias("middle")),
         "mcd-distances")
     return stored(_with(params, _shrunk(middle).drop("n"), _GROUP), "mcd-scaled")
 
 
-def _measured(rows: DataFrame, params: DataFrame) -> DataFrame:
-    return _with(rows, params, _ZONE).withColumn("d2", _distance())
+def _measured(rows: DataFrame, params: DataFrame, few: bool) -> DataFrame:
+    return _with(rows, _sent(params, few), _ZONE).withColumn("d2", _distance())
 
 
 def _normal_distance() -> Column:
@@ -304,7 +320,7 @@ def estimates(vectors: DataFrame) -> DataFrame:
     raw = _scaled(rows, found.groupBy(*_ZONE).agg(
         F.min_by(F.struct(*body), F.struct("logdet", "start")).alias("best")
     ).select(*_ZONE, "best.*").withColumn("start", F.lit(0)))
-    near = _with(rows, raw, _ZONE).where(_normal_distance() <= CHI_NEAR)
+    near = _with(rows, _sent(raw, _few(raw)), _ZONE).where(_normal_distance() <= CHI_NEAR)
     return _scaled(rows, stored(_fitted(near, CONSISTENCY), "mcd-weighted"))
 
 
@@ -329,7 +345,7 @@ def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         F.struct("middle", *[f"m_{i}" for i in range(len(_NAMES))], *[
             f"k_{i}_{j}" for i in range(len(_NAMES)) for j in range(i + 1)]).alias("e"))
     of_group = same(F.col("lang"), F.col("p_lang")) & same(F.col("source"), F.col("p_source"))
-    measured = stats.join(own, of_group, "left").select(*stats.columns, "e.*", *_vector())
+    measured = stats.join(_sent(own, _few(own)), of_group, "left").select(*stats.columns, "e.*", *_vector())
     distance = F.when(~F.col("base_failed"), _normal_distance())
     return measured.select(
         F.col("id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines",

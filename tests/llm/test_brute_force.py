@@ -100,6 +100,25 @@ def test_quality_estimate_is_that_of_numpy(spark):
     assert abs(row["middle"] - middle) <= 2
 
 
+def test_quality_vectors_are_not_shuffled_to_their_groups(spark):
+    """The numbers of a few groups go to the vectors, whatever Spark thinks of sizes."""
+    zones = [(2, "en", "a"), (1, "en", None), (0, None, None)]
+    rows = spark.createDataFrame(
+        [(*z, i, i * i, -i, 7 * i % 5, i % 3) for i in range(40) for z in zones],
+        "level int, g1 string, g2 string, x1 long, x2 long, x3 long, x4 long, x5 long")
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        params = quality.stored(quality._starts(rows), "starts")
+        near = quality._nearest(rows, params)
+        plan = near._jdf.queryExecution().executedPlan().toString()
+        kept = near.groupBy(*quality._GROUP).count().collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert plan.count("BroadcastHashJoin") == 3 and "SortMergeJoin" not in plan
+    assert len(kept) == 6 and min(r["count"] for r in kept) >= 30
+
+
 def test_quality_floor_is_far_below_the_spread(spark):
     vectors = _vectors(spark, documents(spark, "/root/testdata/sf0.01"))
     assert min(np.array(vectors.select(*quality._NAMES).collect(), float).std(axis=0)) > (
