@@ -129,7 +129,8 @@ def _vector() -> list[Column]:
     def odds(part: str, of: Column) -> Column:
         return F.log((F.col(part) + 0.5) / (F.greatest(of - F.col(part), F.lit(0.0)) + 0.5))
 
-    raw = (F.log(words), F.log(chars / words), odds("n_marks", chars), odds("n_short", words),
+    # texts without a word have no vector; they must not stop the others
+    raw = (F.log(words), F.log(F.try_divide(chars, words)), odds("n_marks", chars), odds("n_short", words),
            F.log(F.col("n_distinct").cast("double")))
     return [F.round(x * UNIT).cast("long").alias(n) for x, n in zip(raw, _NAMES)]
 

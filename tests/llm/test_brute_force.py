@@ -119,6 +119,20 @@ def test_quality_vectors_are_not_shuffled_to_their_groups(spark):
     assert len(kept) == 6 and min(r["count"] for r in kept) >= 30
 
 
+def test_quality_texts_without_words_have_no_vector(spark):
+    """Such texts fail the base rules; a division by their words must not end the job."""
+    words = [" ".join(f"w{(i * k) % 97}" for k in range(20 + i % 9)) for i in range(30)]
+    docs = spark.createDataFrame(
+        [(i, t, "en" if i % 3 else None, "s") for i, t in enumerate([None, "", " \n", *words])],
+        "doc_id long, text string, lang string, source string")
+    stats = quality.statistics(docs, "doc_id")
+    vectors = {r.doc_id: r for r in stats.select("doc_id", *quality._vector()).collect()}
+    assert [vectors[i].x2 for i in range(3)] == [None] * 3 and vectors[3].x2 is not None
+    got = {r.doc_id: r for r in quality.judged(docs).collect()}
+    assert len(got) == 33
+    assert all(got[i].base_failed and not got[i].kept and got[i].distance is None for i in range(3))
+
+
 def test_quality_floor_is_far_below_the_spread(spark):
     vectors = _vectors(spark, documents(spark, "/root/testdata/sf0.01"))
     assert min(np.array(vectors.select(*quality._NAMES).collect(), float).std(axis=0)) > (
